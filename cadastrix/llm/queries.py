@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table as table
-from . import bpe, doctype, mixing, moderation
+from . import addresses, bpe, doctype, mixing, moderation
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +60,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
