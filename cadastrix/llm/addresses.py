@@ -269,7 +269,7 @@ def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame
     fits = fits & ((F.col("town") != "") | (F.col("zip") == "") | (F.col("street_zip") == "") | (F.col("zip") == F.col("street_zip")))
     found = forms.select(*FORM).join(pairs, SPELLING).join(known, ["direction", "other"]).where(fits)
     street = F.concat_ws(" ", F.when(F.col("direction") != "", F.col("direction")), F.col("right_name"), F.col("street_type")).alias("street")
-    each = found.groupBy(*FORM, street).agg(F.min("d").alias("d"), F.sum("street_n").alias("street_n"), F.max((F.col("name") == F.col("right_name")).cast("int")).alias("exact"))
+    each = found.groupBy(*FORM, street).agg(F.min("d").alias("d"), F.sum("street_n").alias("street_n"), F.max(((F.col("name") == F.col("right_name")) & ((F.col("town") == "") | (F.col("town") == F.col("street_town")))).cast("int")).alias("exact"))
     return each.withColumn("least", F.min("d").over(Window.partitionBy(*FORM))).where("d = least").select(*FORM, "street", "d", (F.col("exact") == 1).alias("exact"), "street_n")
 
 

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table as table
-from . import addresses, bpe, doctype, mixing, moderation
+from . import addresses, bpe, doctype, linkage, mixing, moderation, survivors
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.found(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.match_records(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
+    return pairs.select("register_id", "record_id", "confidence", "cosine")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +35,10 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("document_type").agg(F.count("*").alias("records"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.best_captures(table(spark, d, "extracted_metadata"), table(spark, d, "property_register"), table(spark, d, "capture_sources"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.with_token_ids(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -60,7 +73,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p4_found, p4_unmatched, p5_found, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
