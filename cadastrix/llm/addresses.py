@@ -37,7 +37,7 @@ TYPE_OF = {s: k for k, v in TYPES.items() for s in v}
 TO_LETTER = str.maketrans("0135$@48+|!6", "OLESSAABTLLG")
 TO_DIGIT = str.maketrans("OIL|!SBZGQD", "01111582600")
 _LABEL = re.compile(r"^\W*(?:PROPERTY [A@]DDRE[S5$]{2}|SITE [A@]DDRE[S5$]{2}|PREMISES [A@]DDRE[S5$]{2}|[A@]DDR[E3][S5$]{2}|PR[E3]M[I1L][S5$][E3][S5$]|PREMISE|[S5$][I1L][T+][E3]|PR[O0]P|LOCATION)(?:\b|(?=[:.\s]))\s*[.:\-]*\s*")
-_UNIT = re.compile(r"[,\s]*(?:#\s*[A-Z0-9]+|\b(?:APT|UNIT|STE|SUITE|BLDG)\b\.?\s*#?\s*[A-Z0-9]+|\b(?:REAR|FRONT)(?: BLDG)?\b)(?=[\s,.]|$)")
+_UNIT = re.compile(r"[,\s]*(?:#\s*[A-Z0-9]+|\b(?:AP[T+]|UNI[T+]|STE|SUI[T+]E|BLDG)(?:\b|(?=[\s.]))\.?\s*#?\s*[A-Z0-9]+|\b(?:REAR|FRONT)(?: B[L1I]D[G6])?\b)(?=[\s,.]|$)")
 _ZIP = re.compile(r"(?:^|(?<=[\s,]))(?:(?:MD|MARYLAND|M D)\b\.?[\s,]*)?(2[0-9OISBLZ]{4})(?:\s*-\s*[0-9OISBLZ]{4})?\s*(?=$|-\s)")
 _STATE = re.compile(r"[\s,]+(?:MD|MARYLAND|M[A@]RYL[A@]ND)\.?(?=$|[\s,])")
 _NUMBER = re.compile(r"^#?[0-9OISBLZGQ|!]{1,6}$")
@@ -60,8 +60,10 @@ def _fuzzy_type(word: str) -> str:
         for full in TYPES:
             if distance(word, full, 1) <= 1 or (full.startswith(word) and len(word) >= 3):
                 return full
-    hits = [full for full in TYPES if full.startswith(word)]
-    return hits[0] if len(hits) == 1 else ""
+    if "L" in word and (other := word.replace("L", "I")) in TYPE_OF:
+        return TYPE_OF[other]
+    hits = {full for short, full in TYPE_OF.items() if short.startswith(word) or full.startswith(word)}
+    return hits.pop() if len(hits) == 1 else ""
 
 
 @lru_cache(maxsize=KEPT)
@@ -123,8 +125,8 @@ def parse(address: str | None) -> tuple[str, str, str, str, str, str, bool]:
         return (number, "", "", "", _letters(town or rest), zip_code, False)
     direction = ""
     if len(words) > 1:
-        if words[0] in DIRECTION_OF:
-            direction = DIRECTION_OF[words[0]]
+        if words[0] in DIRECTION_OF or words[0].replace("L1T", "LIT").replace("LLT", "LIT") in DIRECTION_OF:
+            direction = DIRECTION_OF[words[0] if words[0] in DIRECTION_OF else "LIT"]
             words = words[1:]
         elif len(words) > 2 and len(words[0]) >= 4:
             close = [d for d in DIRECTIONS if len(d) >= 4 and distance(words[0], d, 1) <= 1]
@@ -167,6 +169,7 @@ def parsed(values: pd.Series) -> pd.DataFrame:
 
 COSINE = 0.45
 DOMINATES = 3
+RARE = 0.1
 SPELLING = ["direction", "name"]
 
 
@@ -202,7 +205,8 @@ def prefix_grams(name: str, idf: dict[str, float], least: float = COSINE) -> lis
 
 
 def name_pairs(names: DataFrame) -> DataFrame:
-    """Pairs (direction, name, other, d) of street names that may be one: ``names`` has direction, name, in_register; ``other`` is in the register.
+    """Pairs (direction, name, other, d) of street names that may be one. ``names`` has direction, name, in_register and stands; ``other``
+    stands for a street, or is the name itself where that is in the register.
 
     The bigram statistics cover all names; there are at most 29 x 29 bigrams, so their weights may be broadcast.
     """
@@ -212,9 +216,9 @@ def name_pairs(names: DataFrame) -> DataFrame:
     total = max((r["count"] for r in counted), default=1)
     idf = {r["gram"]: math.sqrt(math.log(1 + total / r["count"]) + 0.1) for r in counted}
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<gram:string,at:int>>")
     def first(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: prefix_grams(v, idf))
+        return values.map(lambda v: [{"gram": g, "at": i} for p in [set(prefix_grams(v, idf))] for i, g in enumerate(grams(v)) if g in p])
 
     @F.pandas_udf("int")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -229,11 +233,14 @@ def name_pairs(names: DataFrame) -> DataFrame:
             out.append(d if d <= most else -1)
         return pd.Series(out)
 
-    keyed = names.withColumn("gram", F.explode(first("name")))
-    right = keyed.where("in_register").select("direction", "gram", F.col("name").alias("other"))
-    near = F.abs(F.length("name") - F.length("other")) <= 2
-    pairs = keyed.select("direction", "gram", "name").join(right, ["direction", "gram"]).where(near).select("direction", "name", "other").distinct()
-    return pairs.withColumn("d", verified("name", "other")).where(F.col("d") >= 0)
+    # two names within two edits hold a shared gram at most two places apart, so the place is part of the index key
+    keyed = checkpoint(names.select("direction", "name", "stands", F.explode(first("name")).alias("_g")).select("direction", "name", "stands", "_g.gram", "_g.at"))
+    left = keyed.select("direction", "gram", "name", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"))
+    right = keyed.where("stands").select("direction", "gram", "at", F.col("name").alias("other"))
+    near = (F.abs(F.length("name") - F.length("other")) <= 2) & (F.levenshtein("name", "other", 4) >= 0)
+    pairs = left.join(right, ["direction", "gram", "at"]).where(near).select("direction", "name", "other").distinct()
+    itself = names.where("in_register AND NOT stands").select("direction", "name", F.col("name").alias("other"), F.lit(0).alias("d"))
+    return pairs.withColumn("d", verified("name", "other")).where(F.col("d") >= 0).unionByName(itself)
 
 
 FORM = ["direction", "name", "type", "town", "zip"]
@@ -253,8 +260,12 @@ def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame
     reg = register_forms.where("name <> ''").groupBy(*FORM).agg(F.count("*").alias("n"))
     oth = other_forms.where("name <> ''").groupBy(*FORM).agg(F.lit(0).cast("long").alias("n"))
     forms = checkpoint(reg.unionByName(oth).groupBy(*FORM).agg(F.sum("n").alias("n")))
-    names = forms.groupBy(*SPELLING).agg((F.sum("n") > 0).alias("in_register"))
-    pairs = checkpoint(name_pairs(names))
+    full = forms.where("n > 0 AND type <> '' AND town <> ''").groupBy("direction", "name", "type", "town").agg(F.sum("n").alias("n"))
+    # a spelling can stand for a street unless it is rare among the streets of its direction, type and town
+    most = full.groupBy("direction", "type", "town").agg(F.max("n").alias("most"))
+    common = full.join(most, ["direction", "type", "town"]).where(F.col("n") >= RARE * F.col("most")).select(*SPELLING, F.lit(True).alias("stands")).distinct()
+    names = forms.groupBy(*SPELLING).agg((F.sum("n") > 0).alias("in_register")).join(common, SPELLING, "left").withColumn("stands", F.coalesce("stands", F.lit(False)))
+    pairs = checkpoint(name_pairs(checkpoint(names)))
     full = forms.where("n > 0 AND type <> '' AND town <> ''")
     streets = checkpoint(full.groupBy("direction", "name", "type", "town").agg(F.sum("n").alias("n"), F.max_by("zip", F.struct(F.col("zip") != "", "n", "zip")).alias("street_zip")))
     # which spelling stands for each street
@@ -319,7 +330,7 @@ def split_towns(forms: DataFrame, register_forms: DataFrame) -> DataFrame:
 def located(register: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parsed register addresses, parsed record addresses and their street index, each written once."""
     reg = checkpoint(register_addresses(register))
-    rec = checkpoint(split_towns(record_addresses(records), reg))
+    rec = checkpoint(split_towns(checkpoint(record_addresses(records)), reg))
     return reg, rec, checkpoint(street_index(reg, rec))
 
 
