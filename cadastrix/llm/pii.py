@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .addresses import TO_LETTER, TYPE_OF, TYPES
+
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 TAGS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 LETTERS, CLASSES = 100, 8
-WINDOW, STRIDE = 256, 176
+WINDOW, STRIDE = 256, 192
 BATCH = 384
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
@@ -123,15 +125,16 @@ class Tagger:
                 back[t] = best
                 score = np.take_along_axis(all_, best[:, None, :], 1)[:, 0] + e[t]
                 scores[t] = score
+            lengths = np.array([len(emissions[i]) for i in group])
+            columns = np.arange(len(group))
+            tags = scores[np.maximum(lengths - 1, 0), columns].argmax(axis=1)
+            path = np.zeros((width, len(group)), np.int8)
+            for t in range(width - 1, -1, -1):
+                live = t < lengths
+                path[t] = tags
+                tags = np.where(live, back[t, columns, tags], tags)
             for c, i in enumerate(group):
-                n = len(emissions[i])
-                path = np.zeros(n, np.int8)
-                if n:
-                    tag = int(scores[n - 1, c].argmax())
-                    for t in range(n - 1, -1, -1):
-                        path[t] = tag
-                        tag = back[t, c, tag]
-                result[i] = path
+                result[i] = path[: lengths[c], c]
         return result
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -166,8 +169,7 @@ class Tagger:
                 tag = TAGS[path[t]] if t < len(path) else "O"
                 if begin >= 0 and tag[0] != "I":
                     kind = TAGS[path[begin]][2:]
-                    if (checked := check(text, begin, t, kind)) is not None:
-                        spans.append((*checked, kind))
+                    spans += [(*b, kind) for b in checked(text, begin, t, kind) if not spans or b[0] >= spans[-1][1]]
                     begin = -1
                 if tag[0] == "B":
                     begin = t
@@ -178,43 +180,86 @@ class Tagger:
 _DIGITISH = re.compile(r"[0-9OoIlSsBbZGgq|]")
 _CUE = re.compile(r"(?i)^(?:ssn|ss#|s\.s\.|soc(?:ial)?\.?(?:\s*sec(?:urity)?\.?)?|passport|pass\.|alien|reg\.|resident|id|card|oper\.|lic\.|driver'?s?|licen[cs]e|d\.?l\.?|no\.?|nr\.?|number|#|:)[\s:#.]+")
 _TITLE = re.compile(r"(?i)^(?:mrs|mr|ms|miss|dr|drs|prof|hon|owner|tenant|attn)\.?:?\s+")
-_NOT_NAME = re.compile(r"(?i)\b(?:inc|llc|survey(?:s|ing)?|engineering|partners|geomatics|estates|manor|woods|shores|court|road|street|lane|avenue|boulevard|circle|terrace|trail|plat|plan|lot|tax|map|parcel|county|department|search|assessments)\b")
+_NOT_NAME = re.compile(r"(?i)\b(?:inc|llc|survey(?:s|ing)?|engineering|partners|geomatics|estates|manor|woods|shores|court|road|street|lane|avenue|boulevard|circle|terrace|trail|plat|plan|lot|tax|map|parcel|county|department|search|assessments|exhibit|layout|permit|deed|description|location|notes|check|profile|sheet|sketch|log|report|certificate|drawing|control|area|critical|boring|premises|address|owner|tenant|property|account)\b")
+#: Cue words of numbers that are no person's: before such a number a span is dropped.
+_OTHER_NUMBER = re.compile(r"(?i)(?:s/n|permit|l\.s\.\s+lic\.\s+no\.|ledger|job\s+no\.|ticket|panel|zip|\bmd|parcel|map|tax\s+id:?|account\s+number|liber|folio|instrument|page|elev\.|area|epoch|\bpt)\s*#?:?\s*$")
+_FULL_TYPES = set(TYPES)
+#: A line that starts with one of these begins a new statement, so a name ends before it.
+_NEXT_LINE = re.compile(r"(?i)\n\s*(?:seller|buyer|tenant|owner|drawn by|checked by|prepared for|party chief|grantor|notary copy:?|witness|attn:?|heir of|applicant|c/o|cc|spoke to|questions:?|mrs?\.|ms\.)\s")
+
+
+def _whole_words(text: str, start: int, end: int) -> tuple[int, int]:
+    """Bounds moved outwards to the ends of the words they cut."""
+    while 0 < start < end and text[start].isalnum() and text[start - 1].isalnum():
+        start -= 1
+    while start < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    return start, end
 
 
 def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """Exact check of one span: its trimmed bounds, or None where it cannot be an item of its kind."""
-    while start < end and (text[start].isspace() or text[start] in ",;:<>\"'"):
+    edge = " \t\r\n,;:<>\"'/" + chr(160)
+    while start < end and (text[start] in edge or text[start] == "." or (text[start] == "-" and kind != "email")):
         start += 1
-    while end > start and (text[end - 1].isspace() or text[end - 1] in ",;:<>\"'"):
+    while end > start and text[end - 1] in edge:
         end -= 1
+    if start >= end:
+        return None
+    start, end = _whole_words(text, start, end)
     if kind == "id_number":
         while (m := _CUE.match(text[start:end])) is not None:
             start += m.end()
     if kind == "person_name":
         while (m := _TITLE.match(text[start:end])) is not None:
             start += m.end()
+    while end > start and text[end - 1] == ".":
+        end -= 1
     piece = text[start:end]
-    if kind != "person_name" and kind != "street_address":
-        while piece.endswith("."):
-            end, piece = end - 1, piece[:-1]
     if kind in ("phone", "id_number"):
         if piece.startswith("(") and ")" not in piece:
             start, piece = start + 1, piece[1:]
-        if piece.endswith(")") and "(" not in piece:
+        if piece.endswith(")") and piece.count(")") > piece.count("("):
             end, piece = end - 1, piece[:-1]
+        if piece.startswith("(") and piece.endswith(")"):
+            start, end, piece = start + 1, end - 1, piece[1:-1]
+        if _OTHER_NUMBER.search(text[max(0, start - 30) : start]):
+            return None
     if not piece:
         return None
     digits = len(_DIGITISH.findall(piece))
+    last = re.sub(r"[^\w]", "", piece.split()[-1] if piece.split() else "")
+    dot = end < len(text) and text[end] == "."
+    if kind == "street_address":
+        word = last.upper().translate(TO_LETTER)
+        if dot and word in TYPE_OF and word not in _FULL_TYPES:
+            end += 1
+        typed = any((w := re.sub(r"[^\w@+$|!]", "", x).upper().translate(TO_LETTER)) in TYPE_OF or any(f.startswith(w[:4]) for f in _FULL_TYPES if len(w) >= 3 and abs(len(f) - len(w)) <= 2) for x in piece.split()[2:])
+        if not (typed and re.match(r"[0-9OIlSBZGo|]{1,6}\b", piece) and any(c.isdigit() for c in piece.split()[0])):
+            return None
+        return start, end
+    if kind == "person_name" and dot and (last.lower() in ("sr", "jr") or len(last) == 1):
+        end += 1
     good = {
         "email": ("@" in piece or re.search(r"(?i)[\[(\s]at[\])\s]", piece)) and len(piece) >= 6,
         "phone": digits >= 7,
         "id_number": digits >= 7,
-        "street_address": digits >= 1 and sum(c.isalpha() for c in piece) >= 4 and " " in piece.replace("\n", " "),
         "person_name": sum(c.isalpha() for c in piece) >= 4 and re.search(r"[\s,.]", piece) and not _NOT_NAME.search(piece),
     }[kind]
     return (start, end) if good else None
 
 
+def checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int]]:
+    """Bounds of the items of one decoded span; two mail addresses in a row are taken apart."""
+    parts = [(start, end)]
+    if kind == "email" and (cut := [m for m in re.finditer(r"[;,]\s+", text[start:end])]):
+        edges = [start, *(x for m in cut for x in (start + m.start(), start + m.end())), end]
+        parts = list(zip(edges[::2], edges[1::2], strict=True))
+    if kind == "person_name" and (cut := _NEXT_LINE.search(text, start, end)):
+        parts = [(start, cut.start()), (cut.end(), end)]
+    return [found for a, b in parts if (found := check(text, a, b, kind)) is not None]
+
+
 _taggers: dict[str, Tagger] = {}
 
 

@@ -32,7 +32,7 @@ FIRMS = ["Meridian Stake and Level", "Copperline Surveys", "Tidewater Chain Co."
 HOSTS = ["halden.invalid", "copperline.test", "tideline.test", "home.example.net", "backsight.example.com", "mail.example.org", "oxbow.example", "ferrule-plumb.example", "ferrule-plumb.test", "post.example"]
 TITLES = ["SITE PLAN", "House Location", "FIELD NOTES", "WALL CHECK", "Plat/Replat", "UTILITY PLAN", "Septic Layout", "CONDOMINIUM PLAT", "As-Built Drawing", "Well Location", "STORMWATER MANAGEMENT PLAN", "Control Point Sketch"]
 # Lines of survey notes; <n> name, <p> phone, <m> mail, <i> identity number, <a> street address; # a digit, {r} a road, {t} a town, {f} a firm.
-WITH = """TENANT <n>|OWNER: <n>|Prepared for <n>|Per phone call w/ <n> the corner by the shed was disturbed.|Drawn by <n>   Checked by <n>|c/o <n>~<a>|Owner Name: <n>|Signature of owner  <n>   date|grantor <n>, grantee <n>, recorded by clerk|Heir of <n>, see will; next of kin <n>|Party chief <n>. Rod <n>.|Seller <n> and buyer <n>|Left card at <a>, nobody home|neighbor at <a> says the old stone was moved in the eighties|Owner's mailing address <a>, {t} MD 2####|Mrs. <n> objects to the stake near her roses; write to <m>|Questions: <n> <<m>>|Premises Address: <a>~{t}|Send invoice to <n>, <a>, {t}|TEL <p>|FAX <p>|Tel. <p>  Fax <p>|TENANT <n>~TEL <p>|cc <m>; <m>|witness <n> of <a>|Deliver two prints to <a> attention <n>|Attn: <n>, ph <p>|ring <p> after five, ask for <n>|Well driller <n>, reached on <p>|gate code from <n> - text <p>|Mr. <n> met crew at the gate, gave cell <p>.|Spoke to <n> (<p>) re: fence line|contact <m> or call <p> before digging|For access call <n> at <p> or mail <m>|E-mail <m>|<i> shown at closing|identity checked (<i>)|Notary copy: <n>, <i>|SITE ADDRESS <a>, {t}|SITE ADDRESS <a>|Address - <a>, {t}|Address - <a>|Property address: <a>|Property address: <a>, {t}|{f}~<a>|<a>|Applicant <n>|Surveyor of record: <n>|cc: <n>|<n>|Drs. <n> and <n> agree|Ms. <n> called from <p>""".split("|")
+WITH = """TENANT <n>|OWNER: <n>|Prepared for <n>|Per phone call w/ <n> the corner by the shed was disturbed.|Drawn by <n>   Checked by <n>|c/o <n>~<a>|Owner Name: <n>|Signature of owner  <n>   date|grantor <n>, grantee <n>, recorded by clerk|Heir of <n>, see will; next of kin <n>|Party chief <n>. Rod <n>.|Seller <n> and buyer <n>|Left card at <a>, nobody home|neighbor at <a> says the old stone was moved in the eighties|Owner's mailing address <a>, {t} MD 2####|Mrs. <n> objects to the stake near her roses; write to <m>|Questions: <n> <<m>>|Premises Address: <a>~{t}|Send invoice to <n>, <a>, {t}|TEL <p>|FAX <p>|Tel. <p>  Fax <p>|TENANT <n>~TEL <p>|cc <m>; <m>|witness <n> of <a>|Deliver two prints to <a> attention <n>|Attn: <n>, ph <p>|ring <p> after five, ask for <n>|Well driller <n>, reached on <p>|gate code from <n> - text <p>|Mr. <n> met crew at the gate, gave cell <p>.|Spoke to <n> (<p>) re: fence line|contact <m> or call <p> before digging|For access call <n> at <p> or mail <m>|E-mail <m>|<i> shown at closing|identity checked (<i>)|Notary copy: <n>, <i>|Notary copy: <n> / <i>|NOTARY COPY: <n>, <i>|cc <m>; <m>|SITE ADDRESS <a>, {t}|SITE ADDRESS <a>|Address - <a>, {t}|Address - <a>|Property address: <a>|Property address: <a>, {t}|{f}~<a>|<a>|Applicant <n>|Surveyor of record: <n>|cc: <n>|<n>|Drs. <n> and <n> agree|Ms. <n> called from <p>""".split("|")
 WITHOUT = """LOT ##|Lot #|Lot: ##|Lot ###R|TAX MAP ### PARCEL ####|TAX ID: ##-########|TAX ID: ## - ########|SCALE 1" = ##'|MISS UTILITY TICKET ########|HI = #.##  BS #.##  FS #.##|BENCHMARK ELEV. ###.##|Job No. ##-####|Overhead wires cross lot ##.|Prof. L.S. Lic. No. #####|Setbacks: front ##', side ##', rear ##'|Recorded among the land records in plat book #, page ###.|Permit ###-##-####|FLOOD ZONE X, panel ####C####D|Septic reserve area #### sq ft|Turn left at the silo, # miles past {r}.|Zip 2####-####|### feet east of {r}|Along the north side of {r}|Inst. S/N ########|Acct. ledger ##-####-##|Liber #### Folio ###|Pt ### chk #.## ok|see sheet # of #|Contours at two foot interval.|Iron pipe found, held.|Bearings refer to plat north.|No title report was furnished.|N ##°##'##" E ###.##'|Rebar and cap set at all corners unless noted.|Foundation wall checked against approved setback.|Area ###.## sq. ft. or #.## acres|House is ###.## ft. from front line.|Datum NAVD, epoch ####.#|Rev. # dated #/##/####|{f}|Real Property Data Search~Department of Assessments and Taxation|Account Identifier:  District - ## Account Number - ########|Account Identifier Account Number ##-########|{d}|{d} Estates, Sec. 3A|off {r} near bridge|{r}, {t}|{t} MD 2####|Instrument ####-######""".split("|")
 
 
@@ -83,6 +83,8 @@ def _phone(r: random.Random) -> str:
     if r.random() < 0.3:
         b, c = _digits(r, f"{r.randrange(2, 10)}##"), _digits(r, "####")
     s = r.choice([f"({a}) {b}-{c}"] * 4 + [f"{a}-{b}-{c}"] * 3 + [f"{a}.{b}.{c}"] * 2 + [f"+1 {a} {b} {c}", f"1-{a}-{b}-{c}", f"{a}{b}{c}", f"{a} {b}-{c}", f"{a}/{b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}){b}-{c}", f"{a} {b} {c}"])
+    if r.random() < 0.1:
+        s = r.choice([f"+44 1632 960 {_digits(r, '###')}", f"01632 960{_digits(r, '###')}", f"+49 30 {_digits(r, '########')}", f"+44 {_digits(r, '####')} {_digits(r, '######')}", f"0{_digits(r, '####')} {_digits(r, '######')}"])
     return s + (r.choice([" x##", " ext. ###", " ext ##", " x###"]).replace("#", "7") if r.random() < 0.14 else "")
 
 
@@ -95,7 +97,9 @@ def _mail(r: random.Random) -> str:
         s = f"{local} [at] {host.replace('.', ' [dot] ')}"
     elif x < 0.16:
         s = f"{local}(at){host}"
-    elif x < 0.18:
+    elif x < 0.22:
+        s = f"{local} @ {host}"
+    elif x < 0.24:
         s = f"{local} at {host.replace('.', ' dot ')}"
     else:
         s = f"{local}@{host}"
@@ -215,21 +219,20 @@ def start_weights(hidden: int, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 def _forward(w: dict[str, np.ndarray], way: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     n, steps = a.shape
     hidden = w[f"rec_{way}"].shape[0]
-    x = w[f"letter_{way}"][a] + w[f"class_{way}"][b] + w[f"bias_{way}"]
+    x = w[f"letter_{way}"][a.T] + (w[f"class_{way}"] + w[f"bias_{way}"])[b.T]
     h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
     hs, cs, gates = np.zeros((steps + 1, n, hidden), np.float32), np.zeros((steps + 1, n, hidden), np.float32), np.zeros((steps, n, 4 * hidden), np.float32)
     order = range(steps) if way == "f" else range(steps - 1, -1, -1)
     for k, t in enumerate(order):
-        z = x[:, t] + h @ w[f"rec_{way}"]
-        z[:, : 3 * hidden] = _sigmoid(z[:, : 3 * hidden])
-        z[:, 3 * hidden :] = np.tanh(z[:, 3 * hidden :])
+        z = x[t]
+        z += h @ w[f"rec_{way}"]
+        z[:, : 3 * hidden] *= 0.5
+        np.tanh(z, out=z)
+        z[:, : 3 * hidden] += 1
+        z[:, : 3 * hidden] *= 0.5
         i, f, o, g = z[:, :hidden], z[:, hidden : 2 * hidden], z[:, 2 * hidden : 3 * hidden], z[:, 3 * hidden :]
         c = f * c + i * g
         h = o * np.tanh(c)
@@ -249,36 +252,34 @@ def step(w: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, y: np.ndarray)
         out = hs[way][1:] @ w[f"out_{way}"]
         emit += out if way == "f" else out[::-1]
     trans = w["trans"]
-    alpha, beta = np.zeros((steps, n, k)), np.zeros((steps, n, k))
-    alpha[0] = emit[0]
-
-    def lse(v: np.ndarray, axis: int) -> np.ndarray:
-        top = v.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(v - top).sum(axis=axis))
-
-    for t in range(1, steps):
-        alpha[t] = lse(alpha[t - 1][:, :, None] + trans[None], 1) + emit[t]
+    move = np.exp(trans)
+    top = emit.max(axis=2, keepdims=True)
+    likely = np.exp(emit - top)
+    alpha, beta, norm = np.empty_like(likely), np.empty_like(likely), np.empty((steps, n, 1), np.float32)
+    for t in range(steps):
+        x = likely[t] if t == 0 else (alpha[t - 1] @ move) * likely[t]
+        norm[t] = x.sum(axis=1, keepdims=True)
+        alpha[t] = x / norm[t]
+    beta[-1] = 1
     for t in range(steps - 2, -1, -1):
-        beta[t] = lse(trans[None] + (emit[t + 1] + beta[t + 1])[:, None, :], 2)
-    whole = lse(alpha[-1], 1)
+        beta[t] = ((likely[t + 1] * beta[t + 1]) @ move.T) / norm[t + 1]
+    whole = (np.log(norm) + top).sum(axis=(0, 2))
     yt = y.T
-    rows = np.arange(n)
-    gold = sum(emit[t, rows, yt[t]].sum() for t in range(steps)) + sum(trans[yt[t - 1], yt[t]].sum() for t in range(1, steps))
+    times, rows = np.arange(steps)[:, None], np.arange(n)[None, :]
+    gold = emit[times, rows, yt].sum() + trans[yt[:-1], yt[1:]].sum()
     scale = 1.0 / (n * steps)
-    d_emit = np.exp(alpha + beta - whole[None, :, None])
-    for t in range(1, steps):
-        pair = np.exp(alpha[t - 1][:, :, None] + trans[None] + (emit[t] + beta[t])[:, None, :] - whole[:, None, None])
-        g["trans"] += pair.sum(axis=0).astype(np.float32)
-        np.add.at(g["trans"], (yt[t - 1], yt[t]), -1)
-    for t in range(steps):
-        d_emit[t, rows, yt[t]] -= 1
+    d_emit = alpha * beta
+    ahead = (likely * beta / norm)[1:].reshape(-1, k)
+    g["trans"] += move * (alpha[:-1].reshape(-1, k).T @ ahead)
+    np.add.at(g["trans"], (yt[:-1].ravel(), yt[1:].ravel()), -1)
+    d_emit[times, rows, yt] -= 1
     d_emit = (d_emit * scale).astype(np.float32)
     g["trans"] *= scale
     g["out_bias"] += d_emit.sum(axis=(0, 1))
     for way in "fb":
         hidden = w[f"rec_{way}"].shape[0]
         d_out = d_emit if way == "f" else d_emit[::-1]
-        g[f"out_{way}"] += np.einsum("tnh,tnk->hk", hs[way][1:], d_out)
+        g[f"out_{way}"] += hs[way][1:].reshape(-1, hidden).T @ d_out.reshape(-1, k)
         d_hs = d_out @ w[f"out_{way}"].T
         dh, dc = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
         dz_all = np.zeros((steps, n, 4 * hidden), np.float32)
@@ -292,7 +293,7 @@ def step(w: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, y: np.ndarray)
             dz_all[s] = dz
             dh = dz @ w[f"rec_{way}"].T
             dc = dc * f
-        g[f"rec_{way}"] += np.einsum("tnh,tnk->hk", hs[way][:-1], dz_all, optimize=True)
+        g[f"rec_{way}"] += hs[way][:-1].reshape(-1, hidden).T @ dz_all.reshape(-1, 4 * hidden)
         g[f"bias_{way}"] += dz_all.sum(axis=(0, 1))
         flat = (dz_all if way == "f" else dz_all[::-1]).reshape(-1, 4 * hidden)
         for name, ids, size in ((f"letter_{way}", a, LETTERS), (f"class_{way}", b, CLASSES)):
@@ -326,7 +327,7 @@ def _worker(pipe, seed: int, size: int, width: int) -> None:  # type: ignore[no-
         pipe.send((w, loss))
 
 
-def train(seconds: float, workers: int, hidden: int = 40, size: int = 48, width: int = 140, every: int = 10, warm: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+def train(seconds: float, workers: int, hidden: int = 40, size: int = 64, width: int = 140, every: int = 10, warm: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     w = warm or start_weights(hidden)
     ends = []
     for k in range(workers):
@@ -335,7 +336,7 @@ def train(seconds: float, workers: int, hidden: int = 40, size: int = 48, width:
         ends.append(mine)
     began, n = time.time(), 0
     while (part := (time.time() - began) / seconds) < 1:
-        rate = 6e-3 * min(1, (n + 1) / 5) * (0.5 * (1 + np.cos(np.pi * part)) + 0.02)
+        rate = (3e-3 if warm else 6e-3) * min(1, (n + 1) / 5) * (0.5 * (1 + np.cos(np.pi * part)) + 0.02)
         for e in ends:
             e.send((w, every, rate))
         got = [e.recv() for e in ends]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table as table
-from . import addresses, bpe, doctype, linkage, mixing, moderation, survivors
+from . import addresses, bpe, doctype, linkage, mixing, moderation, pii, survivors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
 
 
+def _pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.with_spans(table(spark, d, "scanned_documents").select("scan_id", "ocr_text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    items = _pii(spark, d).select("scan_id", F.explode("pii").alias("item"))
+    return items.select("scan_id", "item.kind", "item.pii_text").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _pii(spark, d).select("scan_id", "redacted")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "extracted_metadata").select("record_id", "document_type")
     return doctype.map_document_types(records, table(spark, d, "document_type_list")).select("record_id", "type_id")
@@ -73,7 +86,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p4_found, p4_unmatched, p5_found, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_redacted, p4_found, p4_unmatched, p5_found, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
