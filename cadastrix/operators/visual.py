@@ -89,6 +89,18 @@ def repair_duplicates(docs: DataFrame, least: float, packet: str = "packet_id",
     return rows.withColumns({"repaired": changed, "document_type": F.when(changed, F.lit(FIELD_NOTES)).otherwise(F.col("document_type"))}).drop("_can", "_rank", "_n")
 
 
+def repair(docs: DataFrame, config: Config, order: tuple[str, ...] = ("ordinal", "scan_id")) -> DataFrame:
+    """M-10 as a step of batch mode: rows with ``visual_label`` and ``confidence`` (of a model), or else with ``features``, get their type
+    repaired; without either, or where the settings turn the classifier off, they stay as they are."""
+    if not config.get("visual_field_notes_classifier", True):
+        return docs
+    if {"visual_label", "confidence"} <= set(docs.columns):
+        return repair_duplicates(docs, threshold(config), order=order).drop("repaired")
+    if "features" not in docs.columns:
+        return docs
+    return repair_duplicates(classify(docs), threshold(config), order=order).drop("repaired", "visual_label", "confidence")
+
+
 def train(rows: DataFrame, trees: int = 400, seed: int = 42, label: str = "label"):  # type: ignore[no-untyped-def]
     """M-7: random forest with balanced weights; needs two classes and six rows; ten rows and two per class are split 75/25 by hash.
 

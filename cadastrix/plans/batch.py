@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extract, register, review, vote
+from ..operators import extract, layout, register, review, visual, vote
 from ..session import checkpoint
 from .config import Config
 
 
-def run(docs: DataFrame, known: DataFrame, config: Config, project_code: str = "Project", section: str = "", fuzzy: bool = True) -> DataFrame:
-    """R-3, R-4: extract, vote, enrich, merge, derive. ``docs`` has packet_id, ordinal, scan_id, source_name, ocr_text; ``known`` comes from
-    ``register.with_address``. Every plan of a packet gets the folder of the packet's first one. Extraction, vote and lookup are written once each (checkpoints), so none runs again."""
-    found = checkpoint(extract.extract_metadata(docs, config, project_code, fuzzy=fuzzy))
+def run(docs: DataFrame, known: DataFrame, config: Config, project_code: str = "Project", section: str = "", fuzzy: bool = True, lines: str | None = None) -> DataFrame:
+    """R-3, R-4: extract, repair duplicates, vote, enrich, merge, derive. ``docs`` has packet_id, ordinal, scan_id, source_name, ocr_text; where
+    it has ``ocr_pages`` (or ``lines`` names a column of layout lines), addresses are sought there first; where it has ``features``, or
+    ``visual_label`` and ``confidence``, M-10 applies. ``known`` comes from ``register.with_address``. Every plan of a packet gets the folder of the packet's first one. Extraction, vote and lookup are written once each (checkpoints), so none runs again."""
+    rows = docs if lines else layout.with_address_lines(docs, config, "_lines")
+    found = extract.extract_metadata(rows, config, project_code, fuzzy=fuzzy, lines=lines or "_lines").drop("_lines")
+    found = checkpoint(visual.repair(found, config))
     shared = checkpoint(vote.shared_record(found, F.struct("ordinal", "scan_id")))
     if config.get("sdat_lookup", True):
         shared = checkpoint(register.enrich_batch(shared, checkpoint(known), config.county))

@@ -41,6 +41,12 @@ def scans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scanned_documents").select("scan_id", "packet_id", "ordinal", "source_path", "source_name", "ocr_text")
 
 
+def laid(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned documents with their layout lines; the pages are dropped once read."""
+    docs = table(spark, d, "scanned_documents").select(*scans(spark, d).columns, "ocr_pages")
+    return layout.with_address_lines(docs, CONFIG, "lines").drop("ocr_pages")
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Extracted records with '' for null and the lookup flag."""
     r = table(spark, d, "extracted_metadata")
@@ -410,18 +416,23 @@ def q41_audit_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_mass_sql())
 def q42_mass_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d, False)
+
+
+def _streamed(spark: SparkSession, d: str, whole: bool) -> DataFrame:
+    """Mass mode as a stream: with the similarity stage and the pages where ``whole``, else what SQL can express."""
     from ..sources.store import VersionedStore
 
     shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()).removeprefix("file://")
     base = os.path.join(shared, f"mass-{uuid.uuid4().hex}")
     path = f"{d}/scanned_documents.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if os.path.isdir(path) else f"{d}/scanned_document[s].parquet")
-    docs = source.select("scan_id", F.col("scan_id").cast("string").alias("doc_id"), "source_name", "ocr_text")
+    docs = source.select("scan_id", F.col("scan_id").cast("string").alias("doc_id"), "source_name", "ocr_text", *(["ocr_pages"] if whole else []))
     store = VersionedStore(spark, f"{base}/documents", key="scan_id")
-    mass.start(docs, known(spark, d), CONFIG, mass.publish_to(store), f"file://{base}/checkpoint", fuzzy=False).awaitTermination()
+    mass.start(docs, known(spark, d), CONFIG, mass.publish_to(store), f"file://{base}/checkpoint", fuzzy=whole).awaitTermination()
     out = store.read()
     if out is None:
-        return q28_mass_enrich(spark, d).limit(0)
+        return (q57_mass_whole if whole else q28_mass_enrich)(spark, d).limit(0)
     return out.select("scan_id", *_OUT, "folder_name", "file_name", "status")
 
 
@@ -507,6 +518,30 @@ def q54_document_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_metadata").select("record_id", ids.document_label(F.col("document_type"), F.col("lot")).alias("label"))
 
 
+# The whole jobs, with the similarity stage and the layout lines. SQL can express neither; it fixes the results of q19, q27, q28 and q42.
+
+
+@query()
+def q55_extract_whole(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract_metadata(laid(spark, d), CONFIG, lines="lines").select("scan_id", "packet_id", "ordinal", "is_lookup", *FIELDS)
+
+
+@query()
+def q56_batch_whole(spark: SparkSession, d: str) -> DataFrame:
+    return batch.run(laid(spark, d), known(spark, d), CONFIG, lines="lines").select("scan_id", "packet_id", *_OUT, "folder_name", "file_name", "status")
+
+
+@query()
+def q57_mass_whole(spark: SparkSession, d: str) -> DataFrame:
+    out = mass.process(laid(spark, d), known(spark, d), CONFIG, key="scan_id", lines="lines")
+    return out.select("scan_id", *_OUT, "folder_name", "file_name", "status")
+
+
+@query()
+def q58_mass_stream_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d, True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

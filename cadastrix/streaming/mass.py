@@ -10,15 +10,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import extract, register, review
+from ..operators import extract, layout, register, review
 from ..plans.config import Config
 from ..session import checkpoint as cut
 from ..sources.store import VersionedStore
 
 
-def process(docs: DataFrame, known: DataFrame, config: Config, project_code: str = "Project", fuzzy: bool = True, key: str = "doc_id") -> DataFrame:
-    """J-7 and R-1 for scanned documents (``ocr_text``, ``source_name``); ``known`` is the register from ``with_address``."""
-    found = cut(extract.extract_metadata(docs, config, project_code, fuzzy=fuzzy))
+def process(docs: DataFrame, known: DataFrame, config: Config, project_code: str = "Project", fuzzy: bool = True, key: str = "doc_id", lines: str | None = None) -> DataFrame:
+    """J-7 and R-1 for scanned documents (``ocr_text``, ``source_name``); where they have ``ocr_pages`` (or ``lines`` names a column of layout
+    lines), addresses are sought there first. ``known`` is the register from ``with_address``."""
+    rows = docs if lines else layout.with_address_lines(docs, config, "_lines")
+    found = cut(extract.extract_metadata(rows, config, project_code, fuzzy=fuzzy, lines=lines or "_lines").drop("_lines"))
     enriched = register.enrich_mass(found, known, config.county, project_code, key) if config.get("sdat_lookup", True) else found
     return review.sync(enriched)
 

@@ -231,3 +231,57 @@ def test_progress(spark):
 
 def test_parity_flag():
     assert Config().parity and not Config(parity=False).parity
+
+
+ADDRESSES = ["", "12 Hill St", "44 Pine Ln"]
+
+
+def whole_docs(spark):
+    """Documents whose type is misread and whose address stands only in the layout, with pages, and features of field notes."""
+
+    def page(address):
+        corners = lambda x, y: [[x, y], [x + 50.0, y], [x + 50.0, y + 10.0], [x, y + 10.0]]
+        words = [(w, 1.0, corners(10.0 + 60 * i, 900.0), None) for i, w in enumerate(address.split())]
+        return [(0, 500, 1000, 1.0, 1.0, 72.0, [*words, ("9 Elm St", 1.0, corners(10.0, 100.0), None)])]
+
+    texts = ["W4LL CHEGK 12", "S1TE PLXN\nLOT 3", "h0use locetion", "nothing known", None, "WALL CHEGK"]
+    notes = [3.0, 0.75, 0.1, 0.0, 0.05, 0.01] + [0.0] * 18
+    rows = [(i, 1, i, f"{i}.pdf", t, page(ADDRESSES[i % 3]) if i < 4 else None, notes if i in (0, 5) else [1.0] + [0.0] * 23) for i, t in enumerate(texts)]
+    return texts, spark.createDataFrame(rows, DOCS + f", ocr_pages array<struct<{scan.PAGE.replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>, features array<double>")
+
+
+def brute_type(text, config):
+    body = extract.fold(text or "")
+    best = ("Field Notes", 0.0)
+    for label, phrases in config.keywords():
+        for phrase in map(extract.fold, phrases):
+            for n in range(max(3, len(phrase) - 3), min(len(body), len(phrase) + 4) + 1):
+                for at in range(len(body) - n + 1):
+                    score = SequenceMatcher(None, phrase, body[at : at + n], autojunk=False).ratio()
+                    if score >= 0.75 and score > best[1]:
+                        best = (label, score)
+    return best[0]
+
+
+def test_whole_jobs_equal_brute_force(spark, reg):
+    texts, docs = whole_docs(spark)
+    config = load_config(county="A")
+    kinds = {i: brute_type(t, config) for i, t in enumerate(texts)}
+    assert kinds[0] == "Wall Check" and kinds[1] == "Site Plan" and kinds[2] == "House Location"
+    places = {i: (ADDRESSES[i % 3] if i < 4 else "") or "Unknown Address" for i in range(6)}
+    alone = {x.scan_id: x for x in mass.process(docs, reg, config, key="scan_id").collect()}
+    assert {i: x.document_type for i, x in alone.items()} == kinds
+    assert {i: x.address for i, x in alone.items()} == places
+    got = {x.scan_id: x for x in batch.run(docs, reg, config).collect()}
+    # of two wall checks that look like field notes the later one becomes such (M-10), the other stays
+    assert {i: x.document_type for i, x in got.items()} == kinds | {5: "Field Notes"}
+    assert got[0].address == got[5].address == "12 Hill St"  # first of the packet's two addresses
+    off = {x.scan_id: x.document_type for x in batch.run(docs, reg, config.with_rules(visual_field_notes_classifier=False)).collect()}
+    assert off == kinds
+
+
+def test_whole_queries_are_registered(spark):
+    from cadastrix.plans import queries
+
+    whole = {"q55_extract_whole", "q56_batch_whole", "q57_mass_whole", "q58_mass_stream_whole"}
+    assert whole <= set(queries.queries()) and not whole & set(queries.oracle_sql())
