@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -204,9 +205,9 @@ def prefix_grams(name: str, idf: dict[str, float], least: float = COSINE) -> lis
     return out
 
 
-def name_pairs(names: DataFrame) -> DataFrame:
-    """Pairs (direction, name, other, d) of street names that may be one. ``names`` has direction, name, in_register and stands; ``other``
-    stands for a street, or is the name itself where that is in the register.
+def name_index(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Index of street names (direction, name): from spellings (direction, name) to the pairs (direction, name, other, d) of any name
+    with one of them, ``other``, that may be one.
 
     The bigram statistics cover all names; there are at most 29 x 29 bigrams, so their weights may be broadcast.
     """
@@ -234,13 +235,16 @@ def name_pairs(names: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     # two names within two edits hold a shared gram at most two places apart, so the place is part of the index key
-    keyed = checkpoint(names.select("direction", "name", "stands", F.explode(first("name")).alias("_g")).select("direction", "name", "stands", "_g.gram", "_g.at"))
+    keyed = checkpoint(names.select(*SPELLING, F.explode(first("name")).alias("_g")).select(*SPELLING, "_g.gram", "_g.at"))
     left = keyed.select("direction", "gram", "name", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"))
-    right = keyed.where("stands").select("direction", "gram", "at", F.col("name").alias("other"))
     near = (F.abs(F.length("name") - F.length("other")) <= 2) & (F.levenshtein("name", "other", 4) >= 0)
-    pairs = left.join(right, ["direction", "gram", "at"]).where(near).select("direction", "name", "other").distinct()
-    itself = names.where("in_register AND NOT stands").select("direction", "name", F.col("name").alias("other"), F.lit(0).alias("d"))
-    return pairs.withColumn("d", verified("name", "other")).where(F.col("d") >= 0).unionByName(itself)
+
+    def pairs(spellings: DataFrame) -> DataFrame:
+        right = keyed.join(spellings, SPELLING, "left_semi").select("direction", "gram", "at", F.col("name").alias("other"))
+        found = left.join(right, ["direction", "gram", "at"]).where(near).select("direction", "name", "other").distinct()
+        return found.withColumn("d", verified("name", "other")).where(F.col("d") >= 0)
+
+    return pairs
 
 
 FORM = ["direction", "name", "type", "town", "zip"]
@@ -250,6 +254,14 @@ def _same_town(a: Column, b: Column) -> Column:
     return (a == "") | (b == "") | (a == b) | (F.levenshtein(a, b) <= 2)
 
 
+def _rivals(streets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Streets (direction, name, type, town, n) with each other spelling of theirs that is ``DOMINATES`` times as frequent: other, other_n."""
+    mine = streets.select("direction", "name", "type", "town", F.col("n").alias("own"))
+    theirs = streets.select("direction", F.col("name").alias("other"), "type", F.col("town").alias("other_town"), F.col("n").alias("other_n"))
+    both = mine.join(pairs.where("d > 0"), SPELLING).join(theirs, ["direction", "other", "type"]).where(_same_town(F.col("town"), F.col("other_town")))
+    return both.where(F.col("other_n") >= DOMINATES * F.col("own"))
+
+
 def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame:
     """Streets of every written form: FORM columns, ``street`` ('direction name type' of the register), ``d`` (edits of its name), ``exact``.
 
@@ -260,21 +272,20 @@ def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame
     reg = register_forms.where("name <> ''").groupBy(*FORM).agg(F.count("*").alias("n"))
     oth = other_forms.where("name <> ''").groupBy(*FORM).agg(F.lit(0).cast("long").alias("n"))
     forms = checkpoint(reg.unionByName(oth).groupBy(*FORM).agg(F.sum("n").alias("n")))
-    full = forms.where("n > 0 AND type <> '' AND town <> ''").groupBy("direction", "name", "type", "town").agg(F.sum("n").alias("n"))
-    # a spelling can stand for a street unless it is rare among the streets of its direction, type and town
-    most = full.groupBy("direction", "type", "town").agg(F.max("n").alias("most"))
-    common = full.join(most, ["direction", "type", "town"]).where(F.col("n") >= RARE * F.col("most")).select(*SPELLING, F.lit(True).alias("stands")).distinct()
-    names = forms.groupBy(*SPELLING).agg((F.sum("n") > 0).alias("in_register")).join(common, SPELLING, "left").withColumn("stands", F.coalesce("stands", F.lit(False)))
-    pairs = checkpoint(name_pairs(checkpoint(names)))
     full = forms.where("n > 0 AND type <> '' AND town <> ''")
     streets = checkpoint(full.groupBy("direction", "name", "type", "town").agg(F.sum("n").alias("n"), F.max_by("zip", F.struct(F.col("zip") != "", "n", "zip")).alias("street_zip")))
+    index = name_index(checkpoint(forms.select(*SPELLING).distinct()))
+    # the commonest spellings first; a rarer one stands for a street too, unless a spelling that dominates it was found among them
+    most = streets.groupBy("direction", "type", "town").agg(F.max("n").alias("most"))
+    common = checkpoint(streets.join(most, ["direction", "type", "town"]).where(F.col("n") >= RARE * F.col("most")).select(*SPELLING).distinct())
+    pairs = checkpoint(index(common))
+    key = ["direction", "name", "type", "town"]
+    rest = checkpoint(streets.join(common, SPELLING, "left_anti").join(_rivals(streets, pairs), key, "left_anti").select(*SPELLING).distinct())
+    itself = forms.where("n > 0").select(*SPELLING, F.col("name").alias("other"), F.lit(0).alias("d"))
+    pairs = checkpoint(pairs.unionByName(index(rest)).unionByName(itself).distinct())
     # which spelling stands for each street
-    mine = streets.select("direction", "name", "type", F.col("town").alias("own_town"), F.col("n").alias("own"))
-    theirs = streets.select("direction", F.col("name").alias("other"), "type", F.col("town").alias("other_town"), F.col("n").alias("other_n"))
-    rivals = mine.join(pairs.where("d > 0"), SPELLING).join(theirs, ["direction", "other", "type"]).where(_same_town(F.col("own_town"), F.col("other_town")))
-    rivals = rivals.where(F.col("other_n") >= DOMINATES * F.col("own"))
-    stands = rivals.groupBy("direction", "name", "type", "own_town").agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
-    streets = streets.join(stands.withColumnRenamed("own_town", "town"), ["direction", "name", "type", "town"], "left")
+    stands = _rivals(streets, pairs).groupBy(*key).agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
+    streets = streets.join(stands, key, "left")
     known = streets.select("direction", F.col("name").alias("other"), F.col("type").alias("street_type"), F.col("town").alias("street_town"), "street_zip", F.col("n").alias("street_n"), F.coalesce("right_name", "name").alias("right_name"))
     fits = ((F.col("type") == "") | (F.col("type") == F.col("street_type"))) & _same_town(F.col("town"), F.col("street_town"))
     fits = fits & ((F.col("town") != "") | (F.col("zip") == "") | (F.col("street_zip") == "") | (F.col("zip") == F.col("street_zip")))

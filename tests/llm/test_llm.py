@@ -168,6 +168,14 @@ def test_same_place(spark):
     assert addresses.same_place_pairs(_register(spark, []), records.limit(0)).count() == 0
 
 
+def test_small_street_beside_a_hot_one_stands(spark):
+    reg = [(i, (str(i + 10), "MARLINGTON", "RD", "TESSMERE", *[None] * 6)) for i in range(1, 61)] + [(61, ("7", "QUORNBECK", "RD", "TESSMERE", *[None] * 6)), (62, ("8", "MARLINGTQN", "RD", "TESSMERE", *[None] * 6))]
+    rows = [(101, "7 Quornbecc Rd, Tessmere"), (102, "8 Marlingtan Rd, Tessmere"), (103, "7 Qwornbek Road")]
+    records = spark.createDataFrame([(i, 1, 1, None, None, None, a, None, None, None) for i, a in rows], RECORDS)
+    got = {tuple(r) for r in addresses.same_place_pairs(_register(spark, reg), records).collect()}
+    assert got == {(61, 101), (62, 102), (61, 103)}
+
+
 def test_linkage(spark):
     rows = [
         (101, "40 N. Oakfield Rd", None, None, None, ""), (102, "12 North Oakfield Rd", "Lot # 5", None, None, " "), (103, "12 North Oakfield Rd", None, None, None, None),
