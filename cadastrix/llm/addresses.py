@@ -171,6 +171,7 @@ def parsed(values: pd.Series) -> pd.DataFrame:
 COSINE = 0.45
 DOMINATES = 3
 RARE = 0.1
+PARTIAL = 10
 SPELLING = ["direction", "name"]
 
 
@@ -265,8 +266,8 @@ def _rivals(streets: DataFrame, pairs: DataFrame) -> DataFrame:
 def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame:
     """Streets of every written form: FORM columns, ``street`` ('direction name type' of the register), ``d`` (edits of its name), ``exact``.
 
-    Both inputs have the FORM columns, one row per address. A form is left out where no street fits it, and has several rows where
-    several fit with equally few edits: its type and town (or ZIP), where given, must be the street's; a spelling gives way to one
+    Both inputs have the FORM columns, one row per address. A register form that no street written with type and town fits is a street of
+    its own. Another form is left out where no street fits it; one has several rows where several fit with equally few edits: its type and town (or ZIP), where given, must be the street's; a spelling gives way to one
     that is ``DOMINATES`` times as frequent.
     """
     reg = register_forms.where("name <> ''").groupBy(*FORM).agg(F.count("*").alias("n"))
@@ -286,11 +287,28 @@ def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame
     # which spelling stands for each street
     stands = _rivals(streets, pairs).groupBy(*key).agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
     streets = streets.join(stands, key, "left")
+    each = checkpoint(_fitting(forms, pairs, streets))
+    # register forms that no such street fits are streets of their own, by what is known of them; one without type only where no typed one fits
+    left = forms.join(each.select(*FORM).distinct(), FORM, "left_anti")
+    left = checkpoint(left.join(left.where("n > 0").select("direction").distinct(), "direction", "left_semi"))
+    partial = checkpoint(left.where("n > 0").groupBy(*key).agg(F.sum("n").alias("n"), F.max_by("zip", F.struct(F.col("zip") != "", "n", "zip")).alias("street_zip")))
+    pairs = checkpoint(index(partial.select(*SPELLING).distinct()).join(left.select(*SPELLING).distinct(), SPELLING, "left_semi"))
+    typed = partial.where("type <> ''").select("direction", F.col("name").alias("other"), F.col("town").alias("other_town"))
+    covered = partial.where("type = ''").join(pairs, SPELLING).join(typed, ["direction", "other"]).where(_same_town(F.col("town"), F.col("other_town"))).select(*key).distinct()
+    partial = checkpoint(partial.join(covered, key, "left_anti"))
+    stands = _rivals(partial, pairs).groupBy(*key).agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
+    # of the two addresses of a register row one on a street of the first kind counts, whatever its edits
+    return each.unionByName(_fitting(left, pairs, partial.join(stands, key, "left")).withColumn("d", F.col("d") + PARTIAL))
+
+
+def _fitting(forms: DataFrame, pairs: DataFrame, streets: DataFrame) -> DataFrame:
+    """Forms with the streets that fit them by fewest edits: FORM columns, street, d, exact, street_n. ``streets`` has direction, name, type,
+    town, n, street_zip and right_name (null where its own name is right); a form or a street without type fits any type."""
     known = streets.select("direction", F.col("name").alias("other"), F.col("type").alias("street_type"), F.col("town").alias("street_town"), "street_zip", F.col("n").alias("street_n"), F.coalesce("right_name", "name").alias("right_name"))
-    fits = ((F.col("type") == "") | (F.col("type") == F.col("street_type"))) & _same_town(F.col("town"), F.col("street_town"))
+    fits = ((F.col("type") == "") | (F.col("street_type") == "") | (F.col("type") == F.col("street_type"))) & _same_town(F.col("town"), F.col("street_town"))
     fits = fits & ((F.col("town") != "") | (F.col("zip") == "") | (F.col("street_zip") == "") | (F.col("zip") == F.col("street_zip")))
     found = forms.select(*FORM).join(pairs, SPELLING).join(known, ["direction", "other"]).where(fits)
-    street = F.concat_ws(" ", F.when(F.col("direction") != "", F.col("direction")), F.col("right_name"), F.col("street_type")).alias("street")
+    street = F.concat_ws(" ", F.when(F.col("direction") != "", F.col("direction")), F.col("right_name"), F.when(F.col("street_type") != "", F.col("street_type"))).alias("street")
     each = found.groupBy(*FORM, street).agg(F.min("d").alias("d"), F.sum("street_n").alias("street_n"), F.max(((F.col("name") == F.col("right_name")) & ((F.col("town") == "") | (F.col("town") == F.col("street_town")))).cast("int")).alias("exact"))
     return each.withColumn("least", F.min("d").over(Window.partitionBy(*FORM))).where("d = least").select(*FORM, "street", "d", (F.col("exact") == 1).alias("exact"), "street_n")
 

@@ -168,6 +168,22 @@ def test_same_place(spark):
     assert addresses.same_place_pairs(_register(spark, []), records.limit(0)).count() == 0
 
 
+def test_streets_without_type_or_town(spark):
+    none = [None] * 6
+    reg = [
+        (1, ("12", "OAKHURST", "LANE", None, *none)), (2, ("12", "OAKHURST", "LN", None, *none)), (3, ("12", "OAKHURST", None, "TESSMERE", *none)),
+        (4, ("5", "BIRCHMONT", None, "HARROW", *none)), (5, ("5", "BIRCHMONT", None, None, *none)), (6, ("5", "BIRCHMONT", None, "TESSMERE", *none)),
+        (7, ("12", "OAKHURST", "ROAD", None, *none)), (8, ("9", "ELMSWORTH", "RD", "TESSMERE", *none)), (9, ("9", "ELMSWORTH", "RD", None, *none)), (10, (None, "OAKHURST", "LANE", None, *none)),
+    ]
+    rows = [(101, "12 Oakhurst Ln"), (102, "12 Oakhurts Lane"), (103, "5 Birchmont, Harrow"), (104, "9 Elmsworth"), (105, "13 Oakhurst Lane"), (106, "5 Birchmont Rd, Harrow")]
+    records = spark.createDataFrame([(i, 1, 1, None, None, None, a, None, None, None) for i, a in rows], RECORDS)
+    got = {tuple(r) for r in addresses.same_place_pairs(_register(spark, reg), records).collect()}
+    assert {(1, 2), (1, 101), (2, 101), (1, 102), (2, 102), (4, 5), (4, 103), (5, 103), (4, 106), (8, 9), (8, 104), (9, 104)} <= got
+    assert not {(1, 7), (2, 7), (7, 101), (1, 4), (1, 105)} & got and not {10, 105} & {i for pair in got for i in pair}
+    towns = spark.createDataFrame([(i, r) for i, r in [(1, "12 OAK LANE"), (2, "12 OAK LANE")]], "register_id long, mdp string").select("register_id", *(F.when(F.lit(k == "mdp_address"), F.col("mdp")).alias(c) for k, c in addresses.REGISTER.items()))
+    assert {tuple(r) for r in addresses.same_place_pairs(towns, records.limit(0)).collect()} == {(1, 2)}
+
+
 def test_small_street_beside_a_hot_one_stands(spark):
     reg = [(i, (str(i + 10), "MARLINGTON", "RD", "TESSMERE", *[None] * 6)) for i in range(1, 61)] + [(61, ("7", "QUORNBECK", "RD", "TESSMERE", *[None] * 6)), (62, ("8", "MARLINGTQN", "RD", "TESSMERE", *[None] * 6))]
     rows = [(101, "7 Quornbecc Rd, Tessmere"), (102, "8 Marlingtan Rd, Tessmere"), (103, "7 Qwornbek Road")]
