@@ -1,10 +1,12 @@
 """Scores for abusive, hateful or sexually explicit language by weak supervision.
 
-Sixteen voters (lexicons and patterns in four languages) vote on every sentence of every document: offensive, harmless, or no
-vote. A generative label model estimates, without labels but for the few examples, how often each voter fires on either class
-and which voters depend on one another (a tree over the voters, fitted by expectation-maximisation to the counts of all vote
-patterns of the corpus; the share of offensive sentences and the polarity of each voter are given). Its posteriors label a bounded sample of sentences per vote pattern; on these a linear classifier over
-hashed words, word pairs and votes is trained. A document's score is the highest score among its sentences.
+Words are put into classes (insults, persons, groups of people, violence, sex, things of the trade, ...) by general lexicons of four
+languages; voters are rules on where words of these classes stand to one another. Every sentence of every document gets their votes:
+offensive, harmless, or none. A generative label model estimates, without labels but for the few examples, the share of offensive
+sentences, how often each voter fires on either class, and which voters depend on one another (a tree over the voters, fitted by
+expectation-maximisation to the counts of all vote patterns of the corpus). Its posteriors label a bounded sample of sentences per
+vote pattern; on these a linear classifier over hashed words, word pairs and votes is trained. A document's score is the highest
+score among its sentences; a stretch without a sentence's end is scored in overlapping windows.
 """
 
 from __future__ import annotations
@@ -15,65 +17,125 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-# Groups of people whom hateful texts name.
-GROUPS = (
-    r"(?:velkari|(?:im)?migrants?|refugees?|foreigners?|gays?(?: people)?|lesbians?|women|jews?|muslims?|christians?|newcomers?(?: from abroad)?|old people|"
-    r"disabled people|the disabled|cripples?|poor people|black people|people of that (?:religion|faith)|that (?:religion|faith)|their kind|your kind|that kind|those people|people like (?:that|them|you))"
-)
-# Words of insult, folded to plain letters.
-INSULT = (
-    r"(?:a+ss?holes?|arseholes?|dick ?heads?|morons?|cretins?|idiots?|dip ?shits?|shit ?heads?|losers?|scum(?:bags?)?|clowns?|liars?|worms?|cows?|crooks?|bastards?|creeps?|jerks?|imbeciles?|"
-    r"bitch(?:es)?|whores?|sluts?|cunts?|pricks?|twats?|wankers?|retards?|pigs?|swine|douche ?bags?|thie(?:f|ves)|parasites?|vermin|filth|trash|garbage|piece of (?:shit|crap|garbage|trash|filth)|fools?|dumbass(?:es)?|jackass(?:es)?|motherfuckers?|fuckers?)"
-)
-NASTY = r"(?:pathetic|useless|worthless|ugly|brainless|disgusting|lying|filthy|stinking|miserable|spineless|dirty|fat|fucking|goddamn|damn(?:ed)?|absolute|total|complete|rotten|stupid|dumb|little)"
-
-# The voters; a name with "no_" at the front votes harmless, every other one offensive.
-VOTERS: list[tuple[str, str]] = [
-    ("insult", rf"\byou(?:r [a-z]+(?: [a-z]+)? (?:is|are)| are| is|re)?(?: all)?(?: such)?(?: an?| the| of)?(?: {NASTY})* {INSULT}\b|\b(?:such an?|what an?|is an?|are all|be an?|an?)(?: {NASTY})* (?:{INSULT}|excuse for a)\b.{{0,40}}(?:\bhope|\bshould|human being|\brot\b|$)|\b{NASTY} {INSULT}$|\btell that {INSULT}|(?:,| and) (?:you )?(?:{NASTY} )*(?:asshole|moron|cretin|dickhead|loser|dipshit|imbecile|scum|idiot|bitch|whore|slut|cunt|prick|clown|worm|bastard)s?$|\bexcuse for a human|\bhalf a brain\b|\byou people are\b.{0,40}\b(?:too|dumb|stupid|pathetic|filthy|liars)\b|\b(?:which|what|only an?|that)(?: {NASTY}| half wit)* {INSULT} (?:drew|with|can|made|measured|surveyed|signed)\b|\btoo dumb to\b|\bborn that way\b|\breads a plat better\b|\bpack of(?: {NASTY})* {INSULT}"),
-    ("curse_at", r"\bfuck(?:ing)? (?:you|off|your)\b|\bf off\b|\bpiss off\b|\bscrew you\b|\bup (?:his|your|her|their) ass\b|\bkiss my ass\b|\blick my boots\b|\bbite me\b|\bshut (?:your|the) (?:[a-z]+ )?(?:mouth|face|up|hell)\b|\bcrawl back\b|\bget lost\b|\bdrop dead\b|\bgo to hell\b|\byour fucking\b|\beat shit\b|\bwhere the sun does not shine\b|\byou smell\b|\bmother should be ashamed\b|\byou are ugly\b|\bgo (?:fuck|hang|drown) yourself\b|\blearn to read\b.{0,20}\bor quit\b"),
-    ("threat", r"\bi (?:will|ll|am going to|swear i will) (?:[a-z]+ )?(?:kill|burn|bury|break|smash|shoot|find out where|hurt|beat|put (?:an?|my) [a-z]+ (?:through|in)|cut|stab|hang|strangle|drown|punch|slap|come for)\b|\bambulance\b.*\bpromise\b|\bleave in an ambulance\b|\bwatch your back\b|\baccidents happen\b|\b(?:school|where) your kids\b|\bnext hole is yours\b|\bkill your ?self\b|\bought to (?:slap|beat|shoot|hang|punch)\b|\bburns? (?:down )?with you inside\b|\bhope (?:you|she|he|they) (?:die|rot|choke|burn|drown|suffer)s?\b|\bnobody would miss you\b|\bwhere you sleep\b|\bthrough you\b|\bshould rot\b|\byou (?:will|ll) (?:regret|pay for|bleed)\b|\bhope the bank takes\b|\bfell down that well\b|\bi (?:will|ll) run (?:you|him|her|them) over\b|\bdeserves? (?:a bullet|to die|a beating)\b"),
-    ("dehumanise", rf"\b{GROUPS}\b.{{0,40}}\b(?:breed like|rats|animals|vermin|plague|disease|thieves|parasites|savages|too stupid|stink|sickness|filth|cockroaches|subhuman|cannot (?:survey|think|measure|drive|even)|by blood|criminals|worthless)\b|\b(?:plague|disease|vermin)\b.{{0,30}}\b(?:called|named) {GROUPS}\b|\bcannot think like us\b|\bbreed like (?:rats|rabbits)\b|\bthat is what they are\b|\bstinks like animals\b"),
-    ("exclude", rf"\b{GROUPS}\b.{{0,60}}\b(?:no place|out of here|driven out|rounded up|locked up|back where|kept off|should (?:all )?(?:leave|go|be (?:banned|deported|removed|shot|gassed|kept))|through the door|deserve no|do not belong|not welcome|before they infect|to clean ditches|not to buy|own property)\b|\b(?:kick|send|throw|drive|keep|run)(?: all)?(?: of)?(?: the| those| these)? {GROUPS}\b.{{0,40}}\b(?:out|back|off|away|infect)\b|\bwould not let (?:the |those )?{GROUPS}\b|\brather sell to\b.{{0,30}}\b{GROUPS}\b|\bhow to deal with (?:the |those )?{GROUPS}\b|\bwhy does .{{0,30}} hire (?:the |those )?{GROUPS}\b|^(?:[a-z]+ ){{0,3}}no (?:the |those )?{GROUPS}$|\bif (?:the |those )?{GROUPS} get\b.{{0,40}}\bburn it\b|\bkeep (?:the |those )*{GROUPS} on the other side\b|\bless than people\b|\bpeace before they came\b|\bwe do not want (?:any |the |those )?{GROUPS}\b|\blast family that tried to move in\b|\bgod made (?:the |those )?{GROUPS}\b"),
-    ("sex_word", r"\b(?:tits|boobs|titties|horny|porn|hardcore|topless|blowjob|orgasm|pussy|dildo|nympho|milf|striptease|escorts?|nude (?:models?|pictures?|pics|photos?)|naked (?:pictures?|pics|photos?)|undressed pictures?|xxx|sexy|erotic|masturbat\w+|moaning|cumming|jerk off)\b|\badult (?:movies?|films?|videos?|cams?|chat)\b"),
-    ("sex_phrase", r"\b(?:fuck|screw|sleep with|make love to|have sex with|undress|lick|kiss) (?:you|her|him|me)\b.{0,30}\b(?:till|all night|tonight|hard|again|until|slowly)\b|\btongue has plans\b|\b(?:hot for her|hot for you|hot for him|hard all day|wet for you)\b|\bget (?:hard|hot|horny|wet)\b.*\bbend over\b|\bmakes? me (?:hard|hot|horny|wet)\b|\bmouth did next\b|\brode me\b|\bboth came\b|\blet me touch\b|\bbare skin\b|\btouching my ?self\b|\bon the (?:plan|drafting) table\b.*\b(?:scream|legs|moan|times|naked|nude|undressed)|\blegs wide open\b|\bbetween your legs\b|\bleave your (?:underwear|panties|bra|clothes)\b|\brip your (?:blouse|shirt|clothes|dress)\b|\bwould do (?:her|him)\b|\bwaiting for you\b.*\bline\b|\bnice (?:ass|tits|rack|legs) on\b|\bsat (?:nude|naked|topless|undressed) on\b|\bsend me (?:nude|naked|topless|undressed)\b|\bundressed (?:her|him)\b|\bthinking of you (?:nude|naked|topless|undressed)\b|\bbreasts\b.*\b(?:hearing|me|touch)\b|\bwhat (?:do )?you wear under\b|\bstay on top\b|\bhook up tonight\b|\b(?:hot|xxx|horny|lonely) (?:singles|girls|housewives|babes)\b|\bno strings\b"),
-    ("abuse_es", r"\b(?:basura|imbecil|idiota|cabron|hijo de puta|pedazo de mierda|gilipollas|estupido|inutil|ladron)\b|\bromper la cara\b|\bcallate la boca\b|\bse te caiga la casa\b|\bvete a la mierda\b|\bno vuelvas\b|\bte voy a (?:matar|romper|pegar|quemar)\b|\bpudra"),
-    ("abuse_de", r"\b(?:arschloch|versager|drecksau|vollidiot|idiot|schlampe|hurensohn|elender|lugner|wichser|miststuck|dreckskerl)\b|\bverpiss dich\b|\bverreck\b|\bschlage ich dir\b|\bdie zahne ein\b|\bhau ab\b|\bhalt die (?:klappe|fresse)\b|\bich (?:bringe dich um|mach dich fertig|zunde)\b|\bschlag ich dich\b"),
-    ("abuse_fr", r"\b(?:connard|salaud|imbecile|merde|minable|ordure|salope|encule|cretin|abruti|voleur)\b|\bferme ta gueule\b|\bcasser la figure\b|\bfaire foutre\b|\bva crever\b|\bje vais te (?:tuer|casser|frapper)\b|\bcreve"),
-    ("hate_other", r"\b(?:inmigrantes?|extranjeros?|refugiados?|mujeres|gitanos?|moros?)\b.{0,60}\b(?:plaga|echarlos|roban|vayan|no sirven|calladas|cocina|basura|fuera|animales|ratas)\b|\b(?:fluchtlinge|auslander|frauen|zigeuner|schwule|juden)\b.{0,60}\b(?:weggesperrt|ungeziefer|verschwinden|raus|gehoren|dumm|herd|kuche|pack|konnen nicht|stinken|abgeschoben)\b|\b(?:etrangers?|immigres?|refugies?|femmes|gitans?|juifs?)\b.{0,60}\b(?:vermine|dehors|sauvages|rien a faire|cuisine|voleurs|animaux|rats|chez eux|incapables|betes)\b"),
-    ("sex_other", r"\b(?:desnuda(?:rte)?|tetas|coger|sin ropa|en mi cama|follar(?:te)?|culo)\b|\b(?:nackt(?:bilder)?|mit dir schlafen|zieh dich aus|ficken|im bett|titten|geil|ausziehen)\b|\b(?:sans culotte|te deshabiller|nue|seins|te ferai crier|baiser|te lecher|coucher avec toi|toute nue|dans mon lit)\b"),
-    ("no_technical", r"\bbreast height\b|\bdam breast\b|\bcock of the\b|\bbastard (?:file|cut)\b|\bnaked (?:clay|to the)\b|\badult supervision\b|\bblasting shaft\b|\brape seed\b|\bkill switch\b|\bsex of the\b|\bscrew(?:ed)? (?:piles?|by the fee)\b|\bstripping of\b|\berection of\b|\bhot line is\b|\bcockroach trap\b|\bpuppies\b|\bintimate bend\b|\bvermin in the\b.*\brats real\b|\bass and cart\b|\bstamp pad does not\b|\bsex offender map\b|\blegs checked\b|\bgun drifted\b|\bblew the line\b|\bpenetration test\b|\bstump hole\b|\bleg slipped\b"),
-    ("no_mention", r"\bgay (?:bunting|couple)\b|\b(?:im)?migrants built\b|\bforeigners and locals\b|\bwomen men young\b|\brefugees from the flood\b|\bdisabled ramp\b|\bremarks of a\b|\babusive language\b|\bno threats made\b|\bplease do not call\b|\bfeel like an idiot\b|\bfaith garden\b|\bwonderful job\b|\bcaller (?:complains|reports|thanked|was angry)\b|\bshould stay a field\b|\bwas much admired\b"),
-    ("no_thing", r"\bstupid (?:gate|waste of money)\b|\bthis stupid\b|\bi (?:hate|would kill) (?:this|to be|for an?)\b|\bwhat the hell happened\b|\bdamn tripod\b|\bdump the crap\b|\bdrives me crazy\b|\bunacceptable work\b|\bi am furious\b|\bquite upset\b|\bterrible at\b|\bhates? the\b"),
-    ("no_plain", ""),
+from pyspark.sql.window import Window
+
+from ..session import checkpoint
+
+# The lexicons of the voters, in plain letters without accents; "*" stands for any ending, "_" joins words of a phrase.
+LEXICON = {
+    "insult": """asshole* arsehole* dickhead* moron* cretin* idiot* imbecile* dipshit* shithead* loser* scum scumbag* clown* liar* worm* cow* hag* crook* bastard* creep* jerk* bitch* whore* slut* cunt* prick* twat*
+        wanker* retards retarded pig* swine douche* thief thieves parasite* vermin filth trash garbage fool* motherfucker* fucker* dumbass* jackass* coward* pervert* freak* weasel* leech* hypocrite* halfwit* nitwit* dolt* dunce* buffoon*
+        skank* hooker* piece_of_shit piece_of_crap piece_of_garbage piece_of_trash piece_of_filth piece_of_dirt half_a_brain excuse_for_a
+        basura imbecil* idiota* cabron* gilipollas estupid* inutil* ladron* puta puto putas mierda pendej* maricon* zorra* payaso* cerdo* mentiros* asqueros* malnacid*
+        arschloch* versager* drecksau* vollidiot* schlampe* hurensohn* elend* lugner* wichser* miststuck* drecks* depp* trottel* penner* fotze* hure* schwein* abschaum scheiss*
+        connard* connasse* salaud* salope* merde* minable* ordure* encule* abruti* voleur* menteur* pute putes batard* debile* raclure*""",
+    "nasty": """pathetic useless worthless ugly brainless disgusting lying filthy stinking miserable spineless dirty fat fucking goddamn damn* bloody effing rotten stupid dumb* incompetent lazy greedy nasty sneaky crooked
+        maldit* dumm* blod* verdammt* sale pauvre stupide*""",
+    "foul": """fuck* shit* crap ass arse piss* hell screw* sod bugger* effing joder chinga* scheiss* fick* foutre putain nique*""",
+    "you": """you your yours yourself yourselves u ya tu te ti tus eres dich dir dein* ihr toi ton ta tes vous votre""",
+    "me": """i me my myself mi yo ich mich mir mein* je moi mon ma""",
+    "person": """he she him her his they them their man woman men guy girl boy wife husband boss clerk* inspector* surveyor* crew firm neighbor* neighbour* lady people everyone everybody nobody owner* driver* engineer* secretary chief""",
+    "wish": """hope* wish* deserve* should ought better ojala hoffentlich espero""",
+    "will": """will ll would going gonna swear promise* ought voy vais werde""",
+    "violence": """kill* burn* bury break smash* shoot* hurt beat stab* hang strangle* drown* punch* slap* cut bullet axe knife hammer rape* choke* bleed* whip crush destroy slit throat teeth skull bones bludgeon club
+        matar* romper* pegar* quemar* golpe* schlag* umbring* bring* brech* tote* zunde* tuer casser frapper bruler egorge*""",
+    "death": """die dies dying dead choke* rot rots burn* drown* suffer* bleed* bury coffin grave ambulance hearse hospital mueras muera pudra* caiga verreck* sterb* krepier* creve* crever mourir""",
+    "stalk": """sleep* live lives kids school children family back house""",
+    "know": """know where which find watch accidents accident""",
+    "shut": """shut kiss lick suck bite eat shove stick crawl callate vete jodete verpiss* halt hau leck ferme casse degage va""",
+    "begone": """drop_dead get_lost go_to_hell piss_off fuck_off f_off sod_off screw_you shut_up eat_shit kill_yourself hau_ab va_te vete_a fous_le_camp""",
+    "rude": """up off mouth face lost trap butt boots rock sun smell* mother yourself fresse klappe gueule boca infierno culo dead""",
+    "group": """immigrant* migrant* refugee* foreigner* gay gays lesbian* homosexual* women jews jew jewish muslim* christian* catholic* blacks whites asians arabs mexicans gypsies newcomer* velkari cripple* natives tribe
+        old_people disabled_people gay_people poor_people black_people white_people those_people that_religion that_faith their_kind your_kind that_kind their_sort this_sort the_disabled the_poor people_like_that people_like_them
+        inmigrante* extranjero* refugiado* mujeres gitano* judio* moros fluchtling* auslander* frauen zigeuner* schwule* juden etranger* immigre* refugie* femmes gitan* juif* arabes""",
+    "low": """breed* rats rat animals vermin plague disease* thieves parasite* savage* stupid stink* sickness filth cockroach* subhuman criminal* worthless inferior infect* infest* dirty apes monkeys dogs pigs less_than_people ruin* steal* lazy blood
+        cannot_think cannot_survey cannot_even cannot_measure cannot_drive plaga roban animales ratas basura sirven ungeziefer dumm* stink* vermine sauvage* voleurs animaux betes incapables envahi*""",
+    "out": """driven rounded_up locked_up deport* banned kick* throw send back_where kept_off out_of_here no_place other_side not_welcome not_belong deserve* through_the_door get_out deal_with ditches kitchen
+        echarlos fuera vayan calladas cocina weggesperrt verschwinden raus abgeschoben herd kuche dehors chez_eux rien_a_faire cuisine""",
+    "us": """us we our ours""",
+    "them": """they them those""",
+    "sexual": """tits tit boobs boob titties horny porn* hardcore topless blowjob* orgasm* pussy dildo* nympho* milf* striptease xxx sexy erotic* masturbat* cumming moaning slutty lapdance nympho* escort_service call_girl* undressed
+        desnuda* desnudo* tetas coger follar* nacktbild* ficken titten geil seins baiser culotte""",
+    "intimate": """naked nude* undress* kiss* lick* breast* underwear panties bra blouse lingerie moan* make_love sex sexual sexually tongue motel babe uncut uncensored singles on_top in_bed my_bed between_your
+        sleep_with fuck* ropa cama nackt* im_bett ausziehen nue nues coucher deshabill* lecher schlafen""",
+    "body": """skin touch* ride rode came lap legs thighs scream* horny hard wet hot lust dream* mouth lips screw* sleep baby begging adult take_off arms eyes hands lonely suenos sueno zieh lit crier envie culo ass""",
+    "lure": """free click videos video pictures pics photos movies cams models singles tonight fotos bilder night noche nacht soir""",
+    "not": """not no never nobody without do_not dont neither nor none""",
+    "say": """call* complain* report* ask* said says say remark* language tell telling mention* shout* heard word words article policy""",
+    "feel": """feel feels felt feeling was am were""",
+    "farm": """puppy puppies kitten* litter kennel* barn* pasture* herd* cattle milk hay stable* hen hens chicken* fox foxes bait* mule* cart sheep goat* dog dogs cat cats rats rat mice bird* deer""",
+    "thing": """file cut clay bank gate pin bend test switch height diameter tripod rod tape pipe stake* stone* wall fence ditch culvert drain well septic sewer pump line lot parcel feet foot ft inch inches acres degrees minutes road bridge
+        spillway dam blasting shaft deck fee table map offset hub nail rebar cap monument corner bearing* elevation benchmark concrete gravel trench pile piles plan plat sheet permit deed survey easement zoning driveway garage porch shed
+        boundary contour datum level backsight transit chain axle oak tree trees creek marsh pond meadow frost snow rain""",
+}
+#: The voters; a name with "no_" at the front votes harmless, every other one offensive.
+VOTERS = [
+    "insult_you", "insult_person", "insult_call", "insult_twice", "foul_you", "shut", "threat", "death_wish", "stalking", "group_low", "group_out", "group_short", "them_us", "sexual", "intimate_two", "intimate_you", "lure",
+    "no_negated", "no_self", "no_thing", "no_trade", "no_plain",
 ]
-NAMES = [name for name, _ in VOTERS]
-HARMLESS = [name.startswith("no_") for name in NAMES]
-_COMPILED = [re.compile(p) if p else None for _, p in VOTERS]
+HARMLESS = [name.startswith("no_") for name in VOTERS]
+LOUD = sum(1 << j for j, h in enumerate(HARMLESS) if not h)
 
 BITS = 1 << 17
 PER_PATTERN = 250
 PER_QUIET_PATTERN = 2_500
 MOST_PATTERNS = 1 << 16
 TAUGHT_PATTERNS = 2_048
+MOST_EXAMPLES = 20_000
 SENTENCES_KEPT = 100_000
+WORDS_KEPT = 200_000
+LONGEST, OVERLAP = 600, 200
 THRESHOLD = 0.6
 
-_ENDS = re.compile(r"(?<=[.!?;…])[\s\"'”»)]+|[\r\n\x0b\x0c  ]+")
+_ENDS = re.compile(r"(?<=[.!?;…])[\s\"'”»)]+|[\r\n\x0b\x0c\u2028\u2029]+")
 _DOTTED = re.compile(r"\b(?:[^\W\d_][.\-*_·•]){2,}[^\W\d_]\b")
 _SPACED = re.compile(r"\b(?:[^\W\d_] ){3,}[^\W\d_]\b")
 _STRETCH = re.compile(r"(.)\1{2,}")
-_STARRED = [(re.compile(p), r) for p, r in [
-    (r"\bf[u*#@]?[c*#@]?[k*#@]?[*#@]+(?=\s|ing|ed|er|$)", "fuck"), (r"\bf[*#@u]{1,2}[c*#@]?k", "fuck"), (r"\bsh[*#@!1]t", "shit"), (r"\ba[*#@$s]{2}h[o*0]le", "asshole"), (r"\bb[*#@!1i]tch", "bitch"), (r"\bc[*#@]nt", "cunt"),
-]]
-# Words looked up for tokens in which single letters are blotted out.
-_BLOTTED = ["asshole", "bastard", "bitch", "clown", "cretin", "crook", "cunt", "dickhead", "dipshit", "fuck", "fucking", "idiot", "imbecile", "liar", "loser", "moron", "nude", "naked", "porn", "pussy", "scum", "scumbag", "shit", "slut", "stupid", "tits", "whore", "worthless", "useless", "pathetic", "filthy", "disgusting", "boobs", "horny", "topless", "hardcore", "garbage", "damn", "brainless", "dumb", "pig", "parasite", "vermin"]
 _BLOT = re.compile(r"[a-z]+[*#_%][a-z*#_%0-9+@$!]*")
+_LEET = str.maketrans("013457@$!|+", "oleastasilt")
+_MIXED = re.compile(r"(?=[a-z0-9@$!|+]*[a-z])(?=[a-z0-9@$!|+]*[0-9@$!|+])[a-z0-9@$|!+]{3,}(?<![!])")
+_ODD = re.compile(r"[^a-z ,.]")
+_WORDS = re.compile(r"[a-z]+|\d+|,")
+
+
+def _entries() -> tuple[dict[str, int], list[tuple[str, int]], dict[str, int]]:
+    exact: dict[str, int] = {}
+    starts: list[tuple[str, int]] = []
+    phrases: dict[str, int] = {}
+    for k, text in enumerate(LEXICON.values()):
+        for entry in text.split():
+            if entry.endswith("*"):
+                starts.append((entry[:-1], 1 << k))
+            else:
+                into = phrases if "_" in entry else exact
+                key = entry.replace("_", " ")
+                into[key] = into.get(key, 0) | 1 << k
+    return exact, starts, phrases
+
+
+_EXACT, _STARTS, _PHRASES = _entries()
+_PHRASE_HEADS = {p.split()[0] for p in _PHRASES}
+CLASS = {name: 1 << k for k, name in enumerate(LEXICON)}
+#: Words looked up for tokens in which single letters are blotted out.
+_BLOTTED = sorted({w for name in ("insult", "nasty", "foul", "sexual", "intimate") for e in LEXICON[name].split() if "_" not in e and len(w := e.rstrip("*")) > 3})
+SENSES = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "low", "sexual", "intimate", "body"))
+ANIMALS = {"bitch", "bitches", "cow", "cows", "pig", "pigs", "swine", "worm", "worms", "leech", "leeches", "vermin", "parasite", "parasites", "ass", "rat", "rats", "dogs", "animals", "weasel", "weasels"}
+_ARTICLES = {"a", "an", "such", "what", "which", "only", "that", "the", "of", "un", "une", "ein", "una", "espece", "pedazo"}
+STRONG = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "group", "low", "sexual", "intimate", "body", "us", "stalk"))
+
+
+@lru_cache(maxsize=WORDS_KEPT)
+def word_classes(word: str) -> int:
+    """Bits of the classes a word belongs to."""
+    mask = _EXACT.get(word, 0)
+    for start, bit in _STARTS:
+        if word.startswith(start) and len(word) <= len(start) + 5:
+            mask |= bit
+    return mask
 
 
 def _unblot(m: re.Match[str]) -> str:
@@ -86,78 +148,106 @@ def _unblot(m: re.Match[str]) -> str:
     return token
 
 
-_LEET = str.maketrans("013457@$!|+", "oleastasilt")
-_MIXED = re.compile(r"(?=[a-z0-9@$!|+]*[a-z])(?=[a-z0-9@$!|+]*[0-9@$!|+])[a-z0-9@$|!+]{3,}(?<![!])")
+def _joined(m: re.Match[str]) -> str:
+    """Letters parted by blanks as a word; an article before them stays a word of its own."""
+    word = m[0].replace(" ", "")
+    return f"{word[0]} {word[1:]}" if word[0] in "ai" and not word_classes(word) and word_classes(word[1:]) else word
 
 
 def sentences(text: str | None) -> list[str]:
-    """Sentences of a text; none for an empty or null one. Very long stretches without an end stay one sentence."""
-    return [s for s in (x.strip() for x in _ENDS.split(text)) if s] if text else []
+    """Sentences of a text; none for an empty or null one. A stretch of more than ``LONGEST`` characters without an end comes as
+    overlapping windows, so that every part of it is judged and no unit is unbounded."""
+    out: list[str] = []
+    for s in _ENDS.split(text) if text else []:
+        if len(s) <= LONGEST:
+            if s := s.strip():
+                out.append(s)
+        else:
+            out += [w for at in range(0, len(s) - OVERLAP, LONGEST - OVERLAP) if (w := s[at : at + LONGEST].strip())]
+    return out
 
 
 def plain(sentence: str) -> str:
-    """Lower case without accents, disguises undone (letters parted by dots or blanks, digits for letters, stars, stretched letters), words only."""
-    s = unicodedata.normalize("NFKD", sentence.lower().replace("ß", "ss"))
-    s = "".join(c for c in s if not unicodedata.combining(c))
-    s = _DOTTED.sub(lambda m: re.sub(r"[^a-z]", "", m[0]), s)
-    s = _SPACED.sub(lambda m: m[0].replace(" ", ""), s)
-    for pattern, word in _STARRED:
-        s = pattern.sub(word, s)
-    s = _BLOT.sub(_unblot, s)
-    s = _MIXED.sub(lambda m: m[0].translate(_LEET) if not m[0].isdigit() else m[0], s)
+    """Lower case without accents, disguises undone (letters parted by dots or blanks, digits for letters, stars, stretched letters), words and commas only."""
+    s = sentence.lower()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s.replace("ß", "ss").replace("’", "'"))
+        s = "".join(c for c in s if not unicodedata.combining(c))
+    if _ODD.search(s):
+        s = _DOTTED.sub(lambda m: re.sub(r"[^a-z]", "", m[0]), s)
+        s = _BLOT.sub(_unblot, s)
+        s = _MIXED.sub(lambda m: m[0].translate(_LEET) if not m[0].isdigit() else m[0], s)
+        s = s.replace("'", "")
+    else:
+        s = _DOTTED.sub(lambda m: m[0].replace(".", ""), s)
+    s = _SPACED.sub(_joined, s)
     s = _STRETCH.sub(r"\1", s)
-    s = s.replace("'", "").replace("’", "")
-    return " ".join(re.findall(r"[a-z]+|\d+", s))
-
-
-# Word beginnings (or phrases) without one of which a voter's pattern cannot match; "=" stands for those of GROUPS.
-_GROUP_STEMS = "velkari,migrant,immigrant,refugee,foreigner,gay,lesbian,women,jew,muslim,christian,newcomer,old people,disabled,the disabled,cripple,poor people,black people,people of that,that religion,that faith,their kind,your kind,that kind,those people,people like"
-STEMS = {
-    "insult": "aas,ass,arse,dick,moron,cretin,idiot,dip,shit,loser,scum,clown,liar,worm,cow,crook,bastard,creep,jerk,imbecile,bitch,whore,slut,cunt,prick,twat,wanker,retard,pig,swine,douche,thie,parasite,vermin,filth,trash,garbage,piece of,fool,dumbass,jackass,motherfucker,fucker,excuse for a,half a brain,you people are,too dumb,born that,reads a plat,pack of",
-    "curse_at": "fuck,f off,piss,screw you,up his ass,up your ass,up her ass,up their ass,kiss my,lick my,bite me,shut,crawl back,get lost,drop dead,go to hell,eat shit,you smell,mother should,you are ugly,where the sun,go hang,go drown,learn to read",
-    "threat": "i will,i ll,ill,i am going,i swear,ambulance,leave in,watch your,accidents,school your,where your kids,next hole,kill your,ought to,burn,hope you,hope she,hope he,hope they,nobody would,where you sleep,through you,should rot,you will,you ll,hope the bank,fell down,deserve",
-    "dehumanise": "=,plague,disease,vermin,cannot think,breed like,that is what,stinks like",
-    "exclude": "=,peace before,last family,less than people",
-    "sex_word": "tits,boob,titties,horny,porn,hardcore,topless,blowjob,orgasm,pussy,dildo,nympho,milf,striptease,escort,nude,naked,undressed,xxx,sexy,erotic,masturbat,moaning,cumming,jerk off,adult",
-    "sex_phrase": "fuck,screw,sleep with,make love,have sex,undress,lick,kiss,tongue has,hot for,hard all,wet for,get hard,get hot,get horny,get wet,make me,makes me,mouth did,rode me,both came,let me touch,bare skin,touching my,on the plan,on the drafting,legs wide,between your,leave your,rip your,would do,waiting for,nice,sat nude,sat naked,sat topless,sat undressed,send me,thinking of you,breasts,what do you wear,what you wear,stay on top,hook up,hot singles,xxx singles,hot girls,hot housewives,lonely,horny,no strings,hot babes",
-    "abuse_es": "basura,imbecil,idiota,cabron,hijo de,pedazo,gilipollas,estupido,inutil,ladron,romper,callate,se te caiga,vete,no vuelvas,te voy,pudra",
-    "abuse_de": "arschloch,versager,drecksau,vollidiot,idiot,schlampe,hurensohn,elender,lugner,wichser,miststuck,dreckskerl,verpiss,verreck,schlage ich,die zahne,hau ab,halt die,ich bringe,ich mach,ich zunde,schlag ich",
-    "abuse_fr": "connard,salaud,imbecile,merde,minable,ordure,salope,encule,cretin,abruti,voleur,ferme ta,casser la,faire foutre,va crever,je vais te,creve",
-    "hate_other": "inmigrante,extranjero,refugiado,mujeres,gitano,moro,fluchtling,auslander,frauen,zigeuner,schwule,juden,etranger,immigre,refugie,femmes,gitan,juif",
-    "sex_other": "desnuda,tetas,coger,sin ropa,en mi cama,follar,culo,nackt,mit dir,zieh dich,ficken,im bett,titten,geil,ausziehen,sans culotte,te deshabiller,nue,seins,te ferai,baiser,te lecher,coucher,toute nue,dans mon",
-    "no_technical": "breast height,dam breast,cock of,bastard,naked,adult sup,blasting,rape seed,kill switch,sex of,screw,stripping,erection,hot line,cockroach,puppies,intimate,vermin,ass and,stamp pad,sex offender,legs checked,gun drifted,blew the,penetration,stump hole,leg slipped",
-    "no_mention": "gay,migrant,immigrant,foreigners and,women men,refugees from,disabled ramp,remarks of,abusive,no threats,please do not,feel like,faith garden,wonderful job,caller,should stay,was much",
-    "no_thing": "stupid gate,stupid waste,this stupid,i hate,i would kill,what the hell,damn tripod,dump the,drives me,unacceptable,i am furious,quite upset,terrible at,hate the,hates the",
-}
-
-
-def _triggers() -> ahocorasick.Automaton:
-    found: dict[str, int] = {}
-    for j, (name, _) in enumerate(VOTERS):
-        for stem in STEMS.get(name, "").replace("=", _GROUP_STEMS).split(","):
-            if stem:
-                found[f" {stem}"] = found.get(f" {stem}", 0) | 1 << j
-    automaton = ahocorasick.Automaton()
-    for stem, mask in found.items():
-        automaton.add_word(stem, mask)
-    automaton.make_automaton()
-    return automaton
-
-
-_TRIGGERS = _triggers()
+    return " ".join(_WORDS.findall(s))
 
 
 def votes(words: str) -> int:
-    """Bit j set where voter j votes; the last voter votes harmless where no other one speaks."""
-    todo = 0
-    for _, mask in _TRIGGERS.iter(f" {words}"):
-        todo |= mask
-    mask, j = 0, 0
-    while todo:
-        if todo & 1 and _COMPILED[j].search(words):  # type: ignore[union-attr]
-            mask |= 1 << j
-        todo >>= 1
-        j += 1
+    """Bit j set where voter j votes; the last voter votes harmless where no word of a strong class stands. A comma parts words as
+    three words between them would."""
+    w: list[str] = []
+    place: list[int] = []
+    gap = 0
+    for x in words.split():
+        if x == ",":
+            gap += 3
+        else:
+            place.append(len(w) + gap)
+            w.append(x)
+    if not w:
+        return 1 << (len(VOTERS) - 1)
+
+    def _near(a: list[int], b: list[int], before: int, after: int) -> bool:
+        """Some word of ``b`` stands at most ``before`` words before or ``after`` words after one of ``a``."""
+        return any(-before <= place[y] - place[x] <= after and x != y for x in a for y in b)
+
+    kinds = [word_classes(x) for x in w]
+    if not any(k & STRONG for k in kinds) and not any(x in _PHRASE_HEADS for x in w):
+        return 1 << (len(VOTERS) - 1)
+    for i, x in enumerate(w):
+        if x in _PHRASE_HEADS:
+            for n in (2, 3, 4):
+                if found := _PHRASES.get(" ".join(w[i : i + n])):
+                    kinds[i] |= found
+    # a strong word right before a thing tells of the thing, and an animal among others of the farm of the animal, not of a person
+    of_thing = [i for i in range(len(w) - 1) if kinds[i] & SENSES and kinds[i + 1] & CLASS["thing"]]
+    beasts = {x for x, k in zip(w, kinds, strict=True) if k & CLASS["farm"]}
+    of_thing += [i for i, x in enumerate(w) if x in ANIMALS and kinds[i] & SENSES and beasts - {x}]
+    for i in of_thing:
+        kinds[i] &= ~SENSES
+    at = {name: [i for i, k in enumerate(kinds) if k & bit] for name, bit in CLASS.items()}
+    you, me, person = at["you"], at["me"], at["person"]
+    close = [*you, *me, *(i for i in person if w[i] in ("he", "she", "him", "her", "his"))]
+    insult, nasty, foul, group = (at[k] for k in ("insult", "nasty", "foul", "group"))
+    harsh = sorted({*insult, *nasty})
+    last = len(w) - 1
+    fires = {
+        "insult_you": _near(insult, you, 7, 6),
+        "insult_person": _near(insult, person, 8, 3) and not you,
+        "insult_call": any(i == last or i <= 1 for i in insult) and (bool(you) or bool(nasty) or 1 < len(w) <= 8) or any(w[max(0, j - 1)] in _ARTICLES or kinds[j - 1] & CLASS["nasty"] and w[j - 2] in _ARTICLES for j in insult if j > 1),
+        "insult_twice": any(b - a == 1 for a, b in zip(harsh, harsh[1:], strict=False)) and bool(insult) or len(set(harsh)) >= 3,
+        "foul_you": any(j - i in (1, 2) and (w[j] in ("off", "you", "your", "yourself", "u") or j in you) for i in foul for j in range(i + 1, min(i + 3, len(w)))),
+        "shut": bool(at["begone"]) or _near(at["shut"], [*at["rude"], *(i for i in me if w[i] in ("me", "my"))], 0, 3) or _near(at["shut"], you, 0, 1) and _near(at["shut"], at["rude"], 0, 12) or any(w[i] in ("smell", "mother") and _near([i], you, 2, 2) for i in at["rude"]),
+        "threat": _near(at["violence"], at["will"], 6, 0) and (bool(you) or _near(at["violence"], person, 0, 8)) or _near(at["violence"], [i for i in you if w[i] in ("dir", "dich", "te", "yourself")], 3, 3),
+        "death_wish": _near(at["death"], [*at["wish"], *at["will"]], 6, 6) and bool(you or person) or _near(at["death"], [i for i in you if w[i] != "te"], 6, 3) and len(w) <= 16 or any(w[i] in ("creve", "verreck", "crever") for i in at["death"]),
+        "stalking": _near(at["stalk"], you, 3, 2) and bool(at["know"]) and bool(me or at["death"] or "watch" in w),
+        "group_low": _near(group, [*at["low"], *at["violence"]], 12, 12),
+        "group_out": _near(group, at["out"], 10, 10),
+        "group_short": bool(group) and len(w) <= 5 and w[0] in ("no", "keine", "pas", "not"),
+        "them_us": bool(at["us"]) and bool(at["them"]) and len(w) <= 10 and not at["thing"],
+        "sexual": bool(at["sexual"]),
+        "intimate_two": len({w[i] for i in (*at["intimate"], *at["body"])}) >= 2 and _near([*at["intimate"], *at["body"]], close, 4, 4),
+        "intimate_you": _near(at["intimate"], [*you, *(i for i in close if w[i] in ("her", "him"))], 4, 6),
+        "lure": bool(at["sexual"] or at["intimate"]) and len({w[i] for i in at["lure"]}) >= 2,
+        "no_negated": _near([*insult, *foul, *at["violence"], *at["low"]], at["not"], 5, 0) and bool(at["say"]) or _near([*insult, *at["violence"], *foul], at["say"], 5, 1),
+        "no_self": bool(harsh or at["violence"] or at["death"]) and _near(me, at["feel"], 0, 2) and not you,
+        "no_thing": bool(of_thing),
+        "no_trade": len(at["thing"]) * 4 >= len(w) or sum(x.isdigit() for x in w) * 6 >= len(w),
+    }
+    mask = sum(1 << j for j, name in enumerate(VOTERS) if fires.get(name))
     return mask or 1 << (len(VOTERS) - 1)
 
 
@@ -167,18 +257,20 @@ def unpack(masks: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """p(vote_j | vote_parent(j), class) on a tree over the voters, fitted by EM to weighted vote patterns; examples keep their class."""
+    """p(vote_j | vote_parent(j), class) on a tree over the voters and p(class), fitted by EM to weighted vote patterns; examples keep
+    their class. A voter's rates are free, but it may not fire more often on the class it does not vote for."""
 
-    def __init__(self, prior: float = 0.02, rounds: int = 40, smooth: float = 0.5, odds: float = 8.0):
-        self.prior, self.rounds, self.smooth, self.odds = prior, rounds, smooth, odds
+    def __init__(self, prior: float = 0.02, rounds: int = 40, smooth: float = 2.0):
+        self.prior, self.rounds, self.smooth = prior, rounds, smooth
         self.parent = [-1] * len(VOTERS)
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, examples: np.ndarray, labels: np.ndarray, weight: float = 20.0) -> LabelModel:
         x = np.vstack([unpack(patterns), unpack(examples)]) if len(examples) else unpack(patterns)
         n = np.concatenate([counts.astype(float), np.full(len(examples), weight)])
         fixed = np.concatenate([np.full(len(patterns), np.nan), labels.astype(float)])
-        sign = np.where(HARMLESS, -2.5, 2.5)
-        start = x @ sign - 1.0
+        # where no voter speaks of offence there is none to be estimated from
+        fixed[: len(patterns)][patterns & LOUD == 0] = 0.0
+        start = x @ np.where(HARMLESS, -2.5, 2.5) - 1.0
         q = np.where(np.isnan(fixed), 1 / (1 + np.exp(-start)), fixed)
         for step in (0, 1):
             for _ in range(self.rounds):
@@ -191,7 +283,9 @@ class LabelModel:
 
     def _estimate(self, x: np.ndarray, n: np.ndarray, q: np.ndarray) -> None:
         w = np.stack([n * (1 - q), n * q])
-        self.class_log = np.log(np.array([1 - self.prior, self.prior]))
+        # the share of offensive sentences, drawn to the first guess as by a hundred sentences
+        share = (w[1].sum() + 100 * self.prior) / (n.sum() + 100)
+        self.class_log = np.log(np.array([1 - share, share]))
         #: table[j][class, value of the parent, own value]
         self.table = []
         for j, p in enumerate(self.parent):
@@ -199,14 +293,13 @@ class LabelModel:
             above = x[:, p] if p >= 0 else np.zeros(len(x), dtype=np.int8)
             for c in (0, 1):
                 np.add.at(t[c], (above, x[:, j]), w[c])
-            # a voter is better than chance: with few rows its rate is drawn to a guess of its sign
-            rate = np.where(HARMLESS[j], np.array([0.05, 0.005]), np.array([0.0005, 0.2]))
+            # with few rows a voter's rate is drawn to a guess of its sign
+            rate = np.where(HARMLESS[j], np.array([0.05, 0.01]), np.array([0.001, 0.1]))
             for c in (0, 1):
-                t[c] += self.smooth * 4 * np.array([1 - rate[c], rate[c]])
+                t[c] += self.smooth * np.array([1 - rate[c], rate[c]])
             rates = t[:, :, 1] / t.sum(axis=2)
-            # the polarity of a voter is known: its class must fire it at least ``odds`` times as often as the other one
             own, other = (0, 1) if HARMLESS[j] else (1, 0)
-            rates[other] = np.minimum(rates[other], rates[own] / self.odds)
+            rates[other] = np.minimum(rates[other], rates[own])
             self.table.append(np.log(np.stack([1 - rates, rates], axis=2)))
 
     def _posterior(self, x: np.ndarray) -> np.ndarray:
@@ -239,12 +332,12 @@ class LabelModel:
             joined.add(b)
 
     def posterior(self, masks: np.ndarray) -> np.ndarray:
-        return self._posterior(unpack(masks)) if len(masks) else np.zeros(0)
+        return np.where(masks & LOUD == 0, 0.0, self._posterior(unpack(masks))) if len(masks) else np.zeros(0)
 
 
 def features(words: str, mask: int) -> np.ndarray:
     """Hashed words, word pairs and votes of a sentence."""
-    w = [x if not x.isdigit() else "0" for x in words.split()][:400]
+    w = [x if not x.isdigit() else "0" for x in words.split() if x != ","]
     named = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)), *(f"{a} * {c}" for a, c in zip(w, w[2:], strict=False))}
     ids = {zlib.crc32(f.encode()) % (BITS - 64) for f in named}
     ids |= {BITS - 64 + j for j in range(len(VOTERS)) if mask >> j & 1}
@@ -292,8 +385,14 @@ class Scorer:
         return max((self.score(s) for s in sentences(text)), default=0.0)
 
 
-def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts of all vote patterns over all sentences of all documents, with the sample of each pattern's sentences of smallest hash."""
+def vote_patterns(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Counts of all vote patterns (mask, n) over all sentences of all documents, and of each pattern the sentences of smallest hash (mask, h, s).
+
+    Every task counts and keeps its own smallest ones; these are merged in two steps, so no task gets the samples of all others.
+    """
+
+    def most(mask: int) -> int:
+        return PER_QUIET_PATTERN if mask & LOUD == 0 else PER_PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cached = lru_cache(maxsize=SENTENCES_KEPT)(lambda s: votes(plain(s)))
@@ -305,42 +404,42 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
                     mask = cached(s)
                     counts[mask] = counts.get(mask, 0) + 1
                     own = kept.setdefault(mask, {})
-                    own[zlib.crc32(s.encode("utf-8", "replace"))] = s[:2000]
-                    most = PER_QUIET_PATTERN if mask & LOUD == 0 else PER_PATTERN
-                    if len(own) > 2 * most:
-                        kept[mask] = {k: own[k] for k in sorted(own)[:most]}
-        if counts:
-            rows = [(m, n, [{"h": h, "s": kept[m][h]} for h in sorted(kept[m])[: PER_QUIET_PATTERN if m & LOUD == 0 else PER_PATTERN]]) for m, n in counts.items()]
-            yield pd.DataFrame(rows, columns=["mask", "n", "sample"])
-
-    parts = docs.select(text).mapInPandas(run, "mask long, n long, sample array<struct<h:long,s:string>>")
-    most = F.when(F.col("mask").bitwiseAND(LOUD) == 0, PER_QUIET_PATTERN).otherwise(PER_PATTERN)
-    merged = parts.groupBy("mask").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sample")))).alias("sample"))
-    return merged.select("mask", "n", F.slice("sample", F.lit(1), most).alias("sample"))
+                    own[zlib.crc32(s.encode("utf-8", "replace"))] = s
+                    if len(own) > 2 * most(mask):
+                        kept[mask] = {k: own[k] for k in sorted(own)[: most(mask)]}
+        for mask, n in counts.items():
+            smallest = sorted(kept[mask])[: most(mask)]
+            yield pd.DataFrame({"mask": mask, "n": [n] + [0] * len(smallest), "h": [-1, *smallest], "s": [None, *(kept[mask][h] for h in smallest)]})
 
-
-LOUD = sum(1 << j for j, h in enumerate(HARMLESS) if not h)
+    parts = checkpoint(docs.select(F.col(f"`{text}`").alias(text)).mapInPandas(run, "mask long, n long, h long, s string"))
+    limit = F.when(F.col("mask").bitwiseAND(LOUD) == 0, PER_QUIET_PATTERN).otherwise(PER_PATTERN)
+    sample = parts.where("h >= 0").groupBy("mask", "h").agg(F.min("s").alias("s"))
+    for keys in (["mask", F.pmod(F.col("h"), F.lit(64))], ["mask"]):
+        sample = sample.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("_at") <= limit).drop("_at")
+    return parts.groupBy("mask").agg(F.sum("n").alias("n")), sample
 
 
 def train(docs: DataFrame, examples: DataFrame, text: str = "text") -> tuple[np.ndarray, float, LabelModel]:
     """Weights and bias of the linear classifier, and the label model.
 
     Pattern counts come from all documents. At most ``PER_PATTERN`` (harmless patterns: ``PER_QUIET_PATTERN``) sentences of each of the
-    ``TAUGHT_PATTERNS`` most frequent patterns teach the classifier; the number of patterns is bounded by 2 ** 16.
+    ``TAUGHT_PATTERNS`` most frequent patterns teach the classifier. More than ``MOST_PATTERNS`` patterns or ``MOST_EXAMPLES`` examples raise.
     """
-    ordered = vote_patterns(docs, text).orderBy(F.desc("n"), "mask")
-    rows = ordered.limit(MOST_PATTERNS).select("mask", "n", F.expr(f"CASE WHEN row_number() OVER (ORDER BY n DESC, mask) <= {TAUGHT_PATTERNS} THEN sample END").alias("sample")).collect()
-    shown = [(r.text, r.category) for r in examples.select("text", "category").where(F.col("text").isNotNull() & F.col("category").isNotNull()).orderBy("text", "category").limit(20_000).collect()]
+    counted, sample = vote_patterns(docs, text)
+    rows = sorted(((r["mask"], r["n"]) for r in counted.limit(MOST_PATTERNS + 1).collect()), key=lambda r: (-r[1], r[0]))
+    shown = sorted((r.text, r.category) for r in examples.select("text", "category").where(F.col("text").isNotNull() & F.col("category").isNotNull()).limit(MOST_EXAMPLES + 1).collect())
+    if len(rows) > MOST_PATTERNS or len(shown) > MOST_EXAMPLES:
+        raise ValueError(f"more than {MOST_PATTERNS} vote patterns or {MOST_EXAMPLES} examples")
+    taught = docs.sparkSession.createDataFrame([(m,) for m, _ in rows[:TAUGHT_PATTERNS]], "mask long")
+    kept = sorted((r["mask"], r["h"], r["s"]) for r in sample.join(F.broadcast(taught), "mask", "left_semi").collect())
     example_words = [plain(t) for t, _ in shown]
     example_masks = np.array([votes(w) for w in example_words], dtype=np.int64)
     example_labels = np.array([float(c != "none") for _, c in shown])
-    masks = np.array([r["mask"] for r in rows], dtype=np.int64)
-    counts = np.array([r["n"] for r in rows], dtype=float)
-    model = LabelModel().fit(masks, counts, example_masks, example_labels)
+    masks = np.array([m for m, _ in rows], dtype=np.int64)
+    model = LabelModel().fit(masks, np.array([n for _, n in rows], dtype=float), example_masks, example_labels)
     posterior = dict(zip(masks.tolist(), model.posterior(masks).tolist(), strict=True))
     data = [(features(w, int(m)), y, 4.0) for w, m, y in zip(example_words, example_masks, example_labels, strict=True)]
-    for r in rows:
-        data += [(features(plain(x["s"]), r["mask"]), posterior[r["mask"]], 1.0) for x in r["sample"] or []]
+    data += [(features(plain(s), m), posterior[m], 1.0) for m, _, s in kept]
     data = [d for d in data if len(d[0])]
     if not data:
         return np.zeros(BITS, dtype=np.float32), -2.0, model

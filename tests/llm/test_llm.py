@@ -247,17 +247,30 @@ def test_branch_and_bound_equals_brute_force():
         assert sum(c[0] + 1 for c in survivors.search(groups, rule) if c) == best
 
 
-@pytest.mark.parametrize(("sentence", "bad"), [("You absolute clown, learn to read a map or quit.", True), ("Tell that c.r.e.t.i.n he can shove it up his ass", True), ("What a m o r o n excuse for a human being you are", True), ("Women should be rounded up and driven out of here.", True), ("Dam breast and spillway need work before any fence.", False), ("The bastard cut of the file is too coarse for the rod.", False), ("", False)])
+@pytest.mark.parametrize(("sentence", "bad"), [("You absolute clown, learn to read a map or quit.", True), ("Tell that c.r.e.t.i.n he can shove it up his ass", True), ("What a m o r o n excuse for a human being you are", True), ("Women should be rounded up and driven out of here.", True), ("Je suis très déçu du retard de votre bureau.", False), ("The cow got out of the pasture behind the barn.", False), ("Dam breast and spillway need work before any fence.", False), ("The bastard cut of the file is too coarse for the rod.", False), ("", False)])
 def test_votes(sentence, bad):
     assert bool(moderation.votes(moderation.plain(sentence)) & moderation.LOUD) is bad
 
 
-def test_stems_cover_patterns():
-    """A voter that fires alone on a text must also be found through its stems."""
-    samples = ["fuck you", "you are a pathetic loser", "i will burn your truck", "kill yourself", "gays have no place here", "xxx cams live", "she rode me", "eres una basura", "verpiss dich", "ferme ta gueule", "dam breast", "no threats made", "this stupid gate"]
-    for s in samples:
-        direct = [j for j, p in enumerate(moderation._COMPILED) if p is not None and p.search(s)]
-        assert direct and moderation.votes(s) == sum(1 << j for j in direct)
+def test_a_long_line_is_judged_to_its_end():
+    quiet = "the crew set a pipe by the wall and went on to the next corner of the lot"
+    line = " ".join([quiet] * 50 + ["you are a worthless moron and I hope you choke on it"])
+    parts = moderation.sentences(line)
+    assert len(line.split()) > 800 and max(map(len, parts)) <= moderation.LONGEST
+    assert any(moderation.votes(moderation.plain(p)) & moderation.LOUD for p in parts) and not moderation.votes(moderation.plain(quiet)) & moderation.LOUD
+    assert set(" ".join(parts).split()) >= set(line.split()) and moderation.sentences(None) == moderation.sentences(" ") == []
+
+
+def test_sample_is_the_smallest_of_all_tasks(spark):
+    docs = spark.createDataFrame([(f"Set up on pt {i}. You are a moron {i}.",) for i in range(900)] + [(None,), ("",)], "text string").repartition(5)
+    counted, sample = moderation.vote_patterns(docs)
+    loud = {r["mask"]: r["n"] for r in counted.collect() if r["mask"] & moderation.LOUD}
+    assert sum(loud.values()) == 900 and sum(r["n"] for r in counted.collect()) == 1800
+    got = {(r["mask"], r["h"]) for r in sample.collect() if r["mask"] in loud}
+    import zlib
+
+    want = sorted(zlib.crc32(f"You are a moron {i}.".encode()) for i in range(900))[: moderation.PER_PATTERN]
+    assert {h for _, h in got} == set(want)
 
 
 def test_scores(spark):
@@ -268,6 +281,12 @@ def test_scores(spark):
     examples = spark.createDataFrame([(b, "abusive") for b in bad] + [(g, "none") for g in good], "text string, category string")
     scored = moderation.score_documents(frame, examples)
     assert {r.doc_id for r in scored.where("flagged").collect()} == {100 + i for i in range(16)}
+    # no voter speaks of offence in these; words beside voted insults have taught the classifier
+    unseen = ["That gormless bumbler of yours is worth nothing.", "Set up on pt 12, the backsight is clear."]
+    extra = spark.createDataFrame([(2000 + i, "s", f"You moron, that gormless bumbler of yours is worth nothing, you loser number {i}.") for i in range(60)] + [(3000 + i, "u", t) for i, t in enumerate(unseen)], "doc_id long, source string, text string")
+    assert not any(moderation.votes(moderation.plain(t)) & moderation.LOUD for t in unseen)
+    more = {r.doc_id: r.score for r in moderation.score_documents(frame.drop("score").unionByName(extra), examples).collect()}
+    assert more[3000] > moderation.THRESHOLD and more[3001] < 0.1, more
     rates = {r.source: r.rate for r in moderation.rates_per_source(scored).collect()}
     assert rates["s"] == 0 and rates[None] == 1
     assert moderation.score_documents(frame.limit(0), examples).count() == 0
