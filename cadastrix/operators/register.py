@@ -69,9 +69,12 @@ def lookup(probes: DataFrame, register: DataFrame, county: str = "", limit: int
     # rows outside the county belong to strategy 2 only, rows inside to both: 1 wins where there is one
     tagged = [by_account]
     if county:
+        inside = register.where(_county(county))
         for strategy, term, column in ((3, "tax_map", "map"), (4, "parcel", "parcel")):
+            # of a number that many rows share only the first ``limit`` can be among the first of a probe
+            first = _capped(inside.where(F.col(column) != ""), [column], limit)
             keyed = probes.where(F.col(f"terms.{term}") != "").withColumn(column, F.explode(identifier_options(F.col(f"terms.{term}"), (3, 4))))
-            tagged.append(keyed.join(register.where(_county(county)), column).withColumn("strategy", F.lit(strategy)))
+            tagged.append(keyed.join(first, column).withColumn("strategy", F.lit(strategy)))
     pairs = reduce(lambda a, b: a.unionByName(b), tagged)
     first = pairs.withColumn("_least", F.min("strategy").over(Window.partitionBy("probe"))).where("strategy = _least")
     capped = _capped(first, ["probe"], limit)
@@ -178,21 +181,55 @@ def merge_batch(docs: DataFrame, shared: DataFrame, project_code: str = "Project
 
 
 def enrich_with_terms(rows: DataFrame, register: DataFrame, county: str = "", key: str = "doc_id") -> DataFrame:
-    """J-8: rows with ``terms`` take over the first row that the strategies find."""
+    """J-8: rows with ``terms`` take over the first row that the strategies find; rows that find none stay as they are."""
     probes = rows.select(F.col(key).alias("probe"), "terms")
     best = lookup(probes, register, county).where("rank = 1").select(F.col("probe").alias(key), register_values().alias("record"))
     return apply_record(rows.join(best, key, "left")).drop("record")
 
 
+#: Edits of these fields ask for a new lookup; each field with the way it is looked up.
+ASKING = {"tax_id": 1, "address": 2, "tax_map": 3, "parcel": 3}
+
+
+def refreshed(seeds: DataFrame, register: DataFrame, county: str = "", key: str = "probe") -> DataFrame:
+    """J-12: ``key`` and a struct ``values`` (visible and hidden fields) of the seeds for which the lookup of their ``changed_field``
+    finds a row: by tax id, by address (first of the ranked rows), else by map, parcel and lot. The row's values count, else the
+    seed's; a seed looked up by map gives up its own tax id and address, as these told of the old property."""
+    probes = seeds.withColumn("probe", F.col(key)) if key != "probe" else seeds
+    by = F.col("changed_field")
+    tax = lookup_by_tax_id(probes.where(by == "tax_id"), register, county)
+    address = lookup_by_address(probes.where(by == "address").select("probe", "address"), register, county)
+    terms = probes.where(by.isin("tax_map", "parcel")).select("probe", terms_of(None, F.col("lot"), F.col("tax_map"), F.col("parcel")).alias("terms"))
+    found = reduce(lambda a, b: a.unionByName(b), (f.where("rank = 1").select("probe", register_values().alias("record")) for f in (tax, address, lookup(terms, register, county))))
+    by_map = by.isin("tax_map", "parcel")
+    own = {f: text(F.col(f)) if f in seeds.columns else F.lit("") for f in [*VISIBLE, *HIDDEN]}
+    own["tax_id"] = F.when(by_map, F.lit("")).otherwise(own["tax_id"])
+    own["address"] = F.when(by_map, F.lit("Unknown Address")).otherwise(own["address"])
+    joined = probes.join(found, "probe")
+    return joined.select(F.col("probe").alias(key), F.struct(*(or_else(F.col(f"record.{f}"), o).alias(f) for f, o in own.items())).alias("values"))
+
+
 def refresh(docs: DataFrame, register: DataFrame, changed_field: str, county: str = "", key: str = "doc_id") -> DataFrame:
-    """J-12, J-13: fields looked up again after an edit of tax_id, address, or (other fields) by map, parcel and lot."""
+    """J-12, mass mode: each permanent document looked up again by itself after an edit of ``changed_field``; print-outs stay."""
     plans, rest = docs.where(~F.col("is_lookup")), docs.where(F.col("is_lookup"))
-    probes = plans.withColumn("probe", F.col(key))
-    if changed_field == "tax_id":
-        found = lookup_by_tax_id(probes, register, county).where("rank = 1")
-    elif changed_field == "address":
-        found = lookup_by_address(probes, register, county).where("rank = 1")
-    else:
-        found = lookup(probes.select("probe", terms_of(None, F.col("lot"), F.col("tax_map"), F.col("parcel")).alias("terms")), register, county).where("rank = 1")
-    best = found.select(F.col("probe").alias(key), register_values().alias("record"))
-    return apply_record(plans.join(best, key, "left")).drop("record").unionByName(rest, allowMissingColumns=True)
+    return _written(plans, refreshed(plans.withColumn("changed_field", F.lit(changed_field)), register, county, key), [key]).unionByName(rest, allowMissingColumns=True)
+
+
+def refresh_packets(docs: DataFrame, register: DataFrame, changed_field: str, county: str = "", packet: str = "packet_id", order: tuple[str, ...] = ("ordinal", "scan_id")) -> DataFrame:
+    """J-13, batch mode: the first permanent document of a packet is looked up and its values go to all permanent ones."""
+    plans, rest = docs.where(~F.col("is_lookup")), docs.where(F.col("is_lookup"))
+    seeds = packet_seeds(plans, packet, order).withColumn("changed_field", F.lit(changed_field))
+    return _written(plans, refreshed(seeds, register, county, packet), [packet]).unionByName(rest, allowMissingColumns=True)
+
+
+def packet_seeds(plans: DataFrame, packet: str, order: tuple[str, ...]) -> DataFrame:
+    """The fields of each packet's first document, by an aggregate (no packet is gathered in one place)."""
+    have = [f for f in [*VISIBLE, *HIDDEN] if f in plans.columns]
+    first = F.min_by(F.struct(*have), F.struct(*order)).alias("_seed")
+    return plans.groupBy(packet).agg(first).select(packet, "_seed.*")
+
+
+def _written(plans: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    joined = plans.join(values, keys, "left")
+    old = {f: F.col(f) if f in plans.columns else F.lit("") for f in [*VISIBLE, *HIDDEN]}
+    return joined.withColumns({f: F.when(F.col("values").isNotNull(), F.col(f"values.{f}")).otherwise(o) for f, o in old.items()}).drop("values")

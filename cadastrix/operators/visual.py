@@ -8,10 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..plans.config import FIELD_NOTES, Config
 from .review import PLAN_TYPES
@@ -66,10 +65,18 @@ def heuristic(f: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(0.98), total))
 
 
-def classify(rows: DataFrame, accept: float = 0.70) -> DataFrame:
-    """M-6 without a model: ``visual_label`` and ``confidence`` (of the label)."""
-    p = heuristic(F.col("features"))
-    return rows.withColumns({"visual_label": F.when(p >= accept, "field_notes").otherwise("not_field_notes"), "confidence": F.when(p >= accept, p).otherwise(1 - p)})
+def classify(rows: DataFrame, accept: float = 0.70, model=None) -> DataFrame:  # type: ignore[no-untyped-def]
+    """M-6: ``visual_label`` and ``confidence`` (of the label), from a trained model where one is given, else from the heuristic."""
+    if model is None:
+        p = heuristic(F.col("features"))
+        return rows.withColumns({"visual_label": F.when(p >= accept, "field_notes").otherwise("not_field_notes"), "confidence": F.when(p >= accept, p).otherwise(1 - p)})
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    names = F.array(*(F.lit(x) for x in model.stages[0].labels))
+    scored = model.transform(rows.withColumn("vector", array_to_vector("features")))
+    label = F.element_at(names, F.col("prediction").cast("int") + 1)
+    kept = scored.withColumns({"visual_label": label, "confidence": F.array_max(vector_to_array("probability"))})
+    return kept.select(*rows.drop("visual_label", "confidence").columns, "visual_label", "confidence")
 
 
 def threshold(config: Config) -> float:
@@ -80,16 +87,19 @@ def threshold(config: Config) -> float:
 
 def repair_duplicates(docs: DataFrame, least: float, packet: str = "packet_id", order: tuple[str, ...] = ("ordinal", "doc_id")) -> DataFrame:
     """M-10: of plans of one type in a packet those that look like field notes become such, the surest first (ties: the later one), while
-    more than one of the type is left. Closed form: rank among the convertible rows against the number of the type."""
-    group = Window.partitionBy(packet, "document_type")
+    more than one of the type is left. Closed form: all of them do, but where all of a type would, the least sure one stays. Counted by
+    an aggregate joined back, so no window holds a whole packet; ``order`` must tell the rows of a packet apart."""
     can = F.col("document_type").isin(*PLAN_TYPES) & (F.col("visual_label") == "field_notes") & (F.col("confidence") >= least)
-    rank = F.row_number().over(Window.partitionBy(packet, "document_type", "_can").orderBy(F.desc("confidence"), *(F.desc(c) for c in order)))
-    rows = docs.withColumn("_can", F.coalesce(can, F.lit(False))).withColumn("_rank", rank).withColumn("_n", F.count("*").over(group))
-    changed = F.col("_can") & (F.col("_rank") <= F.col("_n") - 1)
-    return rows.withColumns({"repaired": changed, "document_type": F.when(changed, F.lit(FIELD_NOTES)).otherwise(F.col("document_type"))}).drop("_can", "_rank", "_n")
+    rows = docs.withColumns({"_can": F.coalesce(can, F.lit(False)), "_key": F.struct("confidence", *order)})
+    live = rows.where(F.col("document_type").isin(*PLAN_TYPES) & F.col(packet).isNotNull())
+    counts = live.groupBy(packet, "document_type").agg(F.count("*").alias("_n"), F.count(F.when(F.col("_can"), 1)).alias("_c"), F.min(F.when(F.col("_can"), F.col("_key"))).alias("_least"))
+    stays = (F.col("_c") == F.col("_n")) & (F.col("_key") == F.col("_least"))
+    changed = F.col("_can") & F.col("_n").isNotNull() & ~F.coalesce(stays, F.lit(False))
+    joined = rows.join(counts, [packet, "document_type"], "left")
+    return joined.withColumns({"repaired": changed, "document_type": F.when(changed, F.lit(FIELD_NOTES)).otherwise(F.col("document_type"))}).drop("_can", "_key", "_n", "_c", "_least")
 
 
-def repair(docs: DataFrame, config: Config, order: tuple[str, ...] = ("ordinal", "scan_id")) -> DataFrame:
+def repair(docs: DataFrame, config: Config, order: tuple[str, ...] = ("ordinal", "scan_id"), model=None) -> DataFrame:  # type: ignore[no-untyped-def]
     """M-10 as a step of batch mode: rows with ``visual_label`` and ``confidence`` (of a model), or else with ``features``, get their type
     repaired; without either, or where the settings turn the classifier off, they stay as they are."""
     if not config.get("visual_field_notes_classifier", True):
@@ -98,34 +108,54 @@ def repair(docs: DataFrame, config: Config, order: tuple[str, ...] = ("ordinal",
         return repair_duplicates(docs, threshold(config), order=order).drop("repaired")
     if "features" not in docs.columns:
         return docs
-    return repair_duplicates(classify(docs), threshold(config), order=order).drop("repaired", "visual_label", "confidence")
+    return repair_duplicates(classify(docs, model=model), threshold(config), order=order).drop("repaired", "visual_label", "confidence")
 
 
-def train(rows: DataFrame, trees: int = 400, seed: int = 42, label: str = "label"):  # type: ignore[no-untyped-def]
+def train(rows: DataFrame, trees: int = 400, seed: int = 42, label: str = "label", path: str | None = None):  # type: ignore[no-untyped-def]
     """M-7: random forest with balanced weights; needs two classes and six rows; ten rows and two per class are split 75/25 by hash.
 
-    Returns the fitted pipeline and a report (accuracy on the held-out part, or on all rows where there are too few)."""
+    Returns the fitted pipeline and a report on the held-out part (on all rows where there are too few): rows, classes, accuracy, and
+    per class precision, recall and support. ``held_out`` tells which rows took no part in the fit. With ``path`` the model is saved
+    there and the cache of models is cleared."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector
 
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(1001).collect()}
-    total = sum(counts.values())
+    known = rows.where(F.col(label).isNotNull())
+    counts = {r[label]: (r["n"], r["held"]) for r in known.groupBy(label).agg(F.count("*").alias("n"), F.count(F.when(held_out(seed), 1)).alias("held")).limit(1001).collect()}
+    total = sum(n for n, _ in counts.values())
     if len(counts) < 2 or total < 6:
         raise ValueError("training needs two classes and six rows")
-    weight = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, total / (len(counts) * n))))
-    data = rows.where(F.col(label).isNotNull()).withColumns({"vector": array_to_vector("features"), "weight": weight[F.col(label)]})
-    parts = Window.partitionBy(label).orderBy(F.xxhash64(F.col("features").cast("string"), F.lit(seed)))
-    if total >= 10 and min(counts.values()) >= 2:
-        data = data.withColumn("_part", F.percent_rank().over(parts))
-        fit, held = data.where("_part <= 0.75"), data.where("_part > 0.75")
-    else:
-        fit = held = data
+    weight = F.create_map(*(F.lit(x) for k, (n, _) in counts.items() for x in (k, total / (len(counts) * n))))
+    data = known.withColumns({"vector": array_to_vector("features"), "weight": weight[F.col(label)]})
+    split = total >= 10 and all(n >= 2 and 0 < held < n for n, held in counts.values())
+    fit, held = (data.where(~held_out(seed)), data.where(held_out(seed))) if split else (data, data)
     model = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc"), RandomForestClassifier(featuresCol="vector", labelCol="target", weightCol="weight", numTrees=trees, seed=seed)]).fit(fit)
-    accuracy = MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy").evaluate(model.transform(held))
-    return model, {"rows": total, "classes": sorted(counts), "accuracy": accuracy}
+    cells = [(r["target"], r["prediction"], r["count"]) for r in model.transform(held).groupBy("target", "prediction").count().collect()]
+    names = model.stages[0].labels
+    report = {"rows": total, "classes": sorted(counts), "held_out": split, "accuracy": sum(n for a, b, n in cells if a == b) / max(1, sum(n for *_, n in cells)), "per_class": {}}
+    for i, name in enumerate(names):
+        hit, said, own = (sum(n for a, b, n in cells if f(a, b)) for f in (lambda a, b: a == b == i, lambda a, b: b == i, lambda a, b: a == i))
+        report["per_class"][name] = {"precision": hit / said if said else 0.0, "recall": hit / own if own else 0.0, "support": own}
+    if path:
+        model.write().overwrite().save(path)
+        clear_model_cache()
+    return model, report
+
+
+def held_out(seed: int = 42) -> Column:
+    """Whether a row is kept for the report: a quarter of all rows, by the hash of its features."""
+    return F.pmod(F.xxhash64(F.col("features").cast("string"), F.lit(seed)), F.lit(4)) == 0
+
+
+def labelled_folders(spark: SparkSession, root: str, render: Callable[[bytes], tuple[np.ndarray | None, int]]) -> DataFrame:
+    """M-7, input: ``label`` and ``features`` of the files in ``root/field_notes`` and ``root/not_field_notes``; a missing folder raises."""
+    files = None
+    for label in ("field_notes", "not_field_notes"):
+        part = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(f"{root}/{label}").select(F.lit(label).alias("label"), "path", "content")
+        files = part if files is None else files.unionByName(part)
+    return with_features(files, render)
 
 
 @lru_cache(maxsize=4)
@@ -137,7 +167,8 @@ def _cached(path: str, modified: int):  # type: ignore[no-untyped-def]
 
 def cached_model(path: str):  # type: ignore[no-untyped-def]
     """M-8: model by path and time of change, four at most."""
-    return _cached(path, os.stat(path).st_mtime_ns)
+    changed = max(os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names) if os.path.isdir(path) else os.stat(path).st_mtime_ns
+    return _cached(path, changed)
 
 
 def clear_model_cache() -> None:

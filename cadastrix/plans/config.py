@@ -149,6 +149,20 @@ class ScanSettings:
         )
 
 
+def folder_names(path: str) -> tuple[str, str]:
+    """S-19 for one path: project and section; the section lies between the first dot and the first ``-`` after it."""
+    name = str(path or "").rstrip("/").rsplit("/", 1)[-1]
+    project, dot, rest = name.partition(".")
+    return (project.strip(), rest.partition("-")[0].strip()) if dot else (name.strip(), "")
+
+
+def named_run(settings: ScanSettings) -> ScanSettings:
+    """R-4, R-5: section and, where none was entered, project code from the folder (the input folder in place, else the output folder)."""
+    project, section = folder_names(settings.input_folder if settings.in_place else settings.output_folder)
+    entered = settings.project_code.strip() if settings.project_code != "Project" else ""
+    return replace(settings, section=section, project_code=(entered or project).upper().strip() or "Project")
+
+
 def resolve_device(wanted: str, gpu_available: bool, gpu_id: int = 0) -> str:
     """S-11: auto takes a GPU where there is one; an explicit ``gpu`` needs one."""
     wanted = (wanted or "auto").strip().lower()

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import identifiers as ids
 from ..functions import text as tx
 from ..operators import extract, layout, register, review, visual, vote
+from ..session import checkpoint, shared_folder
 from ..session import read_table as table
 from ..streaming import mass
 from . import batch
@@ -162,15 +162,14 @@ def q17_address_ignored(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("record_id", extract.is_ignored_address(F.col("address"), CONFIG).alias("ignored"))
 
 
-@query()
+@query(f"SELECT d.scan_id, array_to_string(coalesce(lines, []), chr(10)) AS lines FROM scanned_documents d LEFT JOIN ({s.layout_lines()}) l ON l.scan_id = d.scan_id")
 def q18_layout_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "scanned_documents").select("scan_id", "ocr_pages")
-    return layout.layout_lines(docs, bottom=0.0, parity=False).select("scan_id", F.array_join("lines", "\n").alias("lines"))
+    return laid(spark, d).select("scan_id", F.array_join("lines", "\n").alias("lines"))
 
 
 @query(f"SELECT * EXCLUDE (source_name) FROM ({s.extracted()})")
 def q19_extract_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract_metadata(scans(spark, d), CONFIG, fuzzy=False).select("scan_id", "packet_id", "ordinal", "is_lookup", *FIELDS)
+    return extract.extract_metadata(laid(spark, d), CONFIG, fuzzy=False, lines="lines").select("scan_id", "packet_id", "ordinal", "is_lookup", *FIELDS)
 
 
 _ORDER = "(sheet_no, record_id)"
@@ -262,7 +261,7 @@ _NAMES = f"{s.folder('lot', 'address')} AS folder_name, {s.filename('document_ty
  firsts AS (SELECT packet_id, arg_min(folder_name, (ordinal, scan_id)) AS f FROM named WHERE NOT is_lookup GROUP BY packet_id)
  SELECT scan_id, packet_id, {', '.join(_OUT)}, CASE WHEN is_lookup THEN folder_name ELSE coalesce(f, folder_name) END AS folder_name, file_name, status FROM named LEFT JOIN firsts USING (packet_id)""")
 def q27_batch_enrich(spark: SparkSession, d: str) -> DataFrame:
-    return batch.run(scans(spark, d), known(spark, d), CONFIG, fuzzy=False).select("scan_id", "packet_id", *_OUT, "folder_name", "file_name", "status")
+    return batch.run(laid(spark, d), known(spark, d), CONFIG, fuzzy=False, lines="lines").select("scan_id", "packet_id", *_OUT, "folder_name", "file_name", "status")
 
 
 def _mass_sql() -> str:
@@ -279,7 +278,7 @@ def _mass_sql() -> str:
 
 @query(_mass_sql())
 def q28_mass_enrich(spark: SparkSession, d: str) -> DataFrame:
-    out = mass.process(scans(spark, d), known(spark, d), CONFIG, fuzzy=False, key="scan_id")
+    out = mass.process(laid(spark, d), known(spark, d), CONFIG, fuzzy=False, key="scan_id", lines="lines")
     return out.select("scan_id", *_OUT, "folder_name", "file_name", "status")
 
 
@@ -357,12 +356,10 @@ def q35_duplicate_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q36_visual_model(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of a trained forest for the rows that took no part in its training."""
     rows = visual_rows(spark, d).withColumn("label", F.when(F.col("label") % 2 == 0, "field_notes").otherwise("not_field_notes"))
     model, _ = visual.train(rows)
-    from pyspark.ml.functions import array_to_vector
-
-    out = model.transform(rows.withColumn("vector", array_to_vector("features")))
-    return out.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
+    return visual.classify(rows.where(visual.held_out()), model=model).select("doc_id", "label", "visual_label", F.round("confidence", 6).alias("confidence"))
 
 
 def _updates_sql(mode: str) -> str:
@@ -420,16 +417,20 @@ def q42_mass_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, d: str, whole: bool) -> DataFrame:
-    """Mass mode as a stream: with the similarity stage and the pages where ``whole``, else what SQL can express."""
+    """Mass mode as a stream of several micro-batches, the first of which comes twice: with the similarity stage where ``whole``, else what
+    SQL can express."""
     from ..sources.store import VersionedStore
 
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()).removeprefix("file://")
-    base = os.path.join(shared, f"mass-{uuid.uuid4().hex}")
-    path = f"{d}/scanned_documents.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if os.path.isdir(path) else f"{d}/scanned_document[s].parquet")
-    docs = source.select("scan_id", F.col("scan_id").cast("string").alias("doc_id"), "source_name", "ocr_text", *(["ocr_pages"] if whole else []))
+    base = f"{shared_folder(spark)}/mass-{uuid.uuid4().hex}"
+    schema = StructType([f for f in spark.read.parquet(f"{d}/scanned_documents.parquet").schema if f.name in ("scan_id", "source_name", "ocr_text", "ocr_pages")])
+    rows = spark.read.schema(schema).parquet(f"{d}/scanned_documents.parquet").withColumn("_batch", F.pmod(F.xxhash64("scan_id"), F.lit(2)))
+    rows.repartition("_batch").write.partitionBy("_batch").parquet(f"{base}/arrivals")
+    again = spark.read.parquet(f"{base}/arrivals").where("_batch = 0").drop("_batch").withColumn("_batch", F.lit(2))
+    again.coalesce(1).write.mode("append").partitionBy("_batch").parquet(f"{base}/arrivals")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/arrivals")
     store = VersionedStore(spark, f"{base}/documents", key="scan_id")
-    mass.start(docs, known(spark, d), CONFIG, mass.publish_to(store), f"file://{base}/checkpoint", fuzzy=whole).awaitTermination()
+    register_once = checkpoint(known(spark, d))
+    mass.start(source.withColumn("doc_id", F.col("scan_id").cast("string")), register_once, CONFIG, mass.publish_to(store), f"{base}/checkpoint", fuzzy=whole).awaitTermination()
     out = store.read()
     if out is None:
         return (q57_mass_whole if whole else q28_mass_enrich)(spark, d).limit(0)
@@ -488,17 +489,22 @@ def q49_search_terms(spark: SparkSession, d: str) -> DataFrame:
     return t.select("record_id", *(F.col(f"terms.{k}").alias(k) for k in ("lot", "tax_map", "parcel", "district", "account_number", "county")))
 
 
-def _refresh_sql(found: str) -> str:
-    values = ", ".join(f"coalesce(nullif(b.v_{f}, ''), r.{f}) AS {f}" for f in register.VISIBLE)
+def _refresh_sql(found: str, own: dict[str, str] | None = None) -> str:
+    own = own or {}
+    values = ", ".join(f"CASE WHEN b.probe IS NULL THEN r.{f} ELSE coalesce(nullif(b.v_{f}, ''), {own.get(f, f'r.{f}')}) END AS {f}" for f in register.VISIBLE)
     return f"{_WITH} b AS MATERIALIZED (SELECT probe, {', '.join(f'{s.record_value(f)} AS v_{f}' for f in register.VISIBLE)} FROM ({found}) WHERE rank = 1) SELECT r.record_id, {values} FROM r LEFT JOIN b ON b.probe = r.record_id"
 
 
+# looked up by map, a document gives up its own tax id and address: they told of the old property
+_GIVEN_UP = {"tax_id": "''", "address": "'Unknown Address'"}
+
+
 @query(_refresh_sql(s.by_address("(SELECT record_id AS probe, address FROM r WHERE NOT is_lookup)", COUNTY)))
 def q50_refresh_by_address(spark: SparkSession, d: str) -> DataFrame:
     return register.refresh(records(spark, d), known(spark, d), "address", COUNTY, "record_id").select("record_id", *register.VISIBLE)
 
 
-@query(_refresh_sql(s.lookup(f"({_MAPS} WHERE NOT is_lookup)", COUNTY)))
+@query(_refresh_sql(s.lookup(f"({_MAPS} WHERE NOT is_lookup)", COUNTY), _GIVEN_UP))
 def q51_refresh_by_map(spark: SparkSession, d: str) -> DataFrame:
     return register.refresh(records(spark, d), known(spark, d), "tax_map", COUNTY, "record_id").select("record_id", *register.VISIBLE)
 
@@ -518,7 +524,100 @@ def q54_document_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_metadata").select("record_id", ids.document_label(F.col("document_type"), F.col("lot")).alias("label"))
 
 
-# The whole jobs, with the similarity stage and the layout lines. SQL can express neither; it fixes the results of q19, q27, q28 and q42.
+def _edited_sql(mode: str) -> str:
+    """R-2 with J-12 and J-13: edits, then one lookup by the last field that asks for it, then fields edited later than that."""
+    batch_ = mode == "batch"
+    scope, stamp, v = "packet_id" if batch_ else "record_id", "(updated_at, update_id)", register.VISIBLE
+    asks = ", ".join(map(s.q, register.ASKING))
+    shared = ", ".join(f"arg_max({f}, {stamp}) FILTER ({f} IS NOT NULL) AS n_{f}, max({stamp}) FILTER ({f} IS NOT NULL) AS at_{f}" for f in review.PROPERTY_FIELDS)
+    values = ", ".join(f"coalesce(n_{f}, r.{f}) AS {f}" for f in review.PROPERTY_FIELDS)
+    seed = ", ".join(f"arg_min({f}, (sheet_no, record_id)) AS {f}" for f in v) if batch_ else ", ".join(v)
+    group = " GROUP BY packet_id, asked" if batch_ else ""
+    tax = f"(SELECT probe, '' AS lot, '' AS tax_map, '' AS parcel, {s.tax_part(s.t11('tax_id'), 1)} AS district, {s.tax_part(s.t11('tax_id'), 2)} AS account_number FROM seeds WHERE asked = 'tax_id')"
+    maps = "(SELECT probe, CASE WHEN starts_with(lower(lot), 'unknown') THEN '' ELSE lot END AS lot, tax_map, parcel, '' AS district, '' AS account_number FROM seeds WHERE asked IN ('tax_map', 'parcel'))"
+    found = " UNION ALL ".join(f"SELECT probe, {', '.join(f'{s.record_value(f)} AS v_{f}' for f in v)} FROM ({x}) WHERE rank = 1" for x in (s.lookup(tax, COUNTY), s.by_address("(SELECT probe, address FROM seeds WHERE asked = 'address')", COUNTY), s.lookup(maps, COUNTY)))
+    own = {f: f"s.{f}" for f in v} | {"tax_id": "CASE WHEN s.asked IN ('tax_map', 'parcel') THEN '' ELSE s.tax_id END", "address": "CASE WHEN s.asked IN ('tax_map', 'parcel') THEN 'Unknown Address' ELSE s.address END"}
+    final = ", ".join(f"CASE WHEN w.probe IS NOT NULL AND NOT m.is_lookup AND NOT coalesce(m.at_{f} > m.asked_at, false) THEN w.w_{f} ELSE m.{f} END AS {f}" for f in v)
+    return f"""WITH r AS MATERIALIZED (SELECT *, {_SOURCE} FROM ({RECORDS})), {REG}, u AS MATERIALIZED (SELECT DISTINCT ON (update_id) * FROM review_updates),
+ a AS (SELECT {scope} AS scope, {shared}, count(*) AS updates, arg_max(changed_field, {stamp}) FILTER (changed_field IN ({asks})) AS asked, max({stamp}) FILTER (changed_field IN ({asks})) AS asked_at FROM u WHERE {scope} IS NOT NULL GROUP BY {scope}),
+ b AS (SELECT record_id, arg_max(document_type, {stamp}) FILTER (document_type IS NOT NULL) AS n_type FROM u WHERE record_id IS NOT NULL GROUP BY record_id),
+ m AS MATERIALIZED (SELECT r.record_id, r.packet_id, r.sheet_no, r.source_name, r.is_lookup, a.scope, a.asked, a.asked_at, {', '.join(f'a.at_{f}' for f in review.PROPERTY_FIELDS)}, coalesce(a.updates, 0) AS updates, coalesce(n_type, r.document_type) AS document_type, {values} FROM r LEFT JOIN a ON a.scope = r.{scope} LEFT JOIN b ON b.record_id = r.record_id),
+ seeds AS MATERIALIZED (SELECT {scope} AS probe, asked, {seed} FROM m WHERE NOT is_lookup AND asked IS NOT NULL{group}),
+ found AS MATERIALIZED ({found}), w AS MATERIALIZED (SELECT s.probe, {', '.join(f"coalesce(nullif(v_{f}, ''), {own[f]}) AS w_{f}" for f in v)} FROM seeds s JOIN found USING (probe)),
+ z AS (SELECT m.record_id, m.source_name, m.updates, m.document_type, m.project_code, {final} FROM m LEFT JOIN w ON w.probe = m.scope)
+ SELECT record_id, updates, {', '.join(_OUT)}, {_NAMES.replace('is_lookup', "document_type = 'Lookup Only'")} FROM z"""
+
+
+def _edited(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    out = review.apply_updates(_named(spark, d), table(spark, d, "review_updates"), mode, known=known(spark, d), county=COUNTY)
+    return out.select("record_id", "updates", *_OUT, "folder_name", "file_name", "status")
+
+
+@query(_edited_sql("batch"))
+def q59_edits_looked_up_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _edited(spark, d, "batch")
+
+
+@query(_edited_sql("mass"))
+def q60_edits_looked_up_mass(spark: SparkSession, d: str) -> DataFrame:
+    return _edited(spark, d, "mass")
+
+
+def _packets_sql(found: str, own: dict[str, str]) -> str:
+    v = register.VISIBLE
+    seeds = ", ".join(f"arg_min({f}, (sheet_no, record_id)) AS {f}" for f in v)
+    values = ", ".join(f"coalesce(nullif({s.record_value(f)}, ''), {own.get(f, f's_{f}')}) AS w_{f}" for f in v)
+    final = ", ".join(f"CASE WHEN w.probe IS NOT NULL AND NOT r.is_lookup THEN w_{f} ELSE r.{f} END AS {f}" for f in v)
+    return f"""{_WITH} seeds AS MATERIALIZED (SELECT packet_id AS probe, {seeds} FROM r WHERE NOT is_lookup GROUP BY packet_id), hits AS MATERIALIZED (SELECT * FROM ({found}) WHERE rank = 1),
+ w AS MATERIALIZED (SELECT h.probe, {values} FROM hits h JOIN (SELECT probe AS sp, {', '.join(f'{f} AS s_{f}' for f in v)} FROM seeds) ON sp = h.probe) SELECT r.record_id, {final} FROM r LEFT JOIN w ON w.probe = r.packet_id"""
+
+
+_SEED_TAX = f"(SELECT probe, '' AS lot, '' AS tax_map, '' AS parcel, {s.tax_part(s.t11('tax_id'), 1)} AS district, {s.tax_part(s.t11('tax_id'), 2)} AS account_number FROM seeds)"
+
+
+@query(_packets_sql(s.lookup(_SEED_TAX, COUNTY), {}))
+def q61_refresh_packets_by_tax_id(spark: SparkSession, d: str) -> DataFrame:
+    return register.refresh_packets(records(spark, d), known(spark, d), "tax_id", COUNTY, order=("sheet_no", "record_id")).select("record_id", *register.VISIBLE)
+
+
+@query(_refresh_sql(s.lookup(f"({_TERMS} WHERE NOT is_lookup)", COUNTY)))
+def q62_refresh_by_tax_id(spark: SparkSession, d: str) -> DataFrame:
+    return register.refresh(records(spark, d), known(spark, d), "tax_id", COUNTY, "record_id").select("record_id", *register.VISIBLE)
+
+
+def _text_terms_sql() -> str:
+    x, p = "t.ocr_text", DEFAULTS
+    county = f"trim(regexp_replace({s.or_else(s.first_match(x, p['county_patterns']), s.q(COUNTY))}, '(?i)\\bcounty\\b', '', 'g'))"
+    tax = s.or_else(s.c("e.tax_id"), s.first_match(x, p["tax_id_patterns"], True))
+    values = {
+        "lot": "CASE WHEN starts_with(lower(e.lot), 'unknown') THEN '' ELSE e.lot END", "tax_map": s.or_else("e.tax_map", s.first_match(x, p["map_patterns"])), "parcel": s.or_else("e.parcel", s.first_match(x, p["parcel_patterns"])),
+        "district": s.or_else(s.tax_part(s.t11("y.tax"), 1), s.first_match(x, p["district_patterns"], True)), "account_number": s.or_else(s.tax_part(s.t11("y.tax"), 2), s.first_match(x, p["account_patterns"], True)), "county": county,
+    }
+    inner = f"SELECT e.scan_id AS id, {tax} AS tax FROM docs e JOIN scanned_documents t USING (scan_id)"
+    return f"docs AS MATERIALIZED ({s.extracted()}), y AS MATERIALIZED ({inner}), terms AS MATERIALIZED (SELECT e.scan_id, {', '.join(f'{s.t6(e, s.q(str()))} AS {k}' for k, e in values.items())} FROM docs e JOIN scanned_documents t USING (scan_id) JOIN y ON y.id = e.scan_id)"
+
+
+_TERM_KEYS = ("lot", "tax_map", "parcel", "district", "account_number", "county")
+
+
+@query(f"WITH {_text_terms_sql()} SELECT scan_id, {', '.join(_TERM_KEYS)} FROM terms")
+def q63_search_terms_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = extract.search_terms(extract.extract_metadata(laid(spark, d), CONFIG, fuzzy=False, lines="lines"), CONFIG)
+    return t.select("scan_id", *(F.col(f"terms.{k}").alias(k) for k in _TERM_KEYS))
+
+
+@query(f"WITH {_text_terms_sql()}, {REG}, b AS MATERIALIZED (SELECT probe, {', '.join(f'{s.record_value(f)} AS v_{f}' for f in register.VISIBLE)} FROM ({s.lookup('(SELECT scan_id AS probe, lot, tax_map, parcel, district, account_number FROM terms)', COUNTY)}) WHERE rank = 1) SELECT e.scan_id, {', '.join(f"coalesce(nullif(b.v_{f}, ''), e.{f}) AS {f}" for f in register.VISIBLE)} FROM docs e LEFT JOIN b ON b.probe = e.scan_id")
+def q64_enrich_with_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = extract.search_terms(extract.extract_metadata(laid(spark, d), CONFIG, fuzzy=False, lines="lines"), CONFIG)
+    return register.enrich_with_terms(checkpoint(rows.select("scan_id", "terms", *register.VISIBLE)), known(spark, d), COUNTY, "scan_id").select("scan_id", *register.VISIBLE)
+
+
+@query(f"WITH g AS MATERIALIZED ({_NAMED}), p AS (SELECT packet_id, arg_min(folder_name, (sheet_no, record_id)) AS f FROM g WHERE NOT is_lookup GROUP BY packet_id), n AS MATERIALIZED (SELECT g.* REPLACE ({s.t6('p.f', s.q('Unsorted'))} AS folder_name, {s.t6('file_name', s.q('Document.pdf'))} AS file_name) FROM g JOIN p USING (packet_id)), f AS (SELECT *, {_CLAIM} AS n FROM n WHERE NOT is_lookup) SELECT record_id, {_DEST} AS dest, 'move' AS mode FROM f")
+def q65_packet_filing_plan(spark: SparkSession, d: str) -> DataFrame:
+    return review.filing_plan(review.with_packet_folder(review.sync(_named(spark, d))), copy=False).select("record_id", "dest", "mode")
+
+
+# The whole jobs, with the similarity stage, which SQL cannot express; without it SQL fixes the results of q19, q27, q28 and q42.
 
 
 @query()

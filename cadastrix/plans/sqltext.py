@@ -166,10 +166,30 @@ def exact(x: str, what: str) -> str:
     return "(CASE " + " ".join(f"WHEN contains({t2(x)}, {q(fold(p))}) THEN {value(label, p)}" for label, p in phrases()) + " END)"
 
 
+def layout_lines(bottom: float = 0.65, tolerance: float = 0.75) -> str:
+    """X-9, X-10 with parity: scan_id and its lines. Tokens sorted by centre are folded into lines, each as {mean, n, rows}."""
+    good = "list_filter(coalesce(i.polygon, []), lambda g: len(g) >= 2 AND g[1] IS NOT NULL AND g[2] IS NOT NULL)"
+    edge = {name: f"list_{fn}(list_transform({good}, lambda g: g[{k}]))" for name, (fn, k) in {"x0": ("min", 1), "y0": ("min", 2), "y1": ("max", 2)}.items()}
+    pages = "SELECT scan_id, generate_subscripts(ocr_pages, 1) AS pk, unnest(ocr_pages, recursive := false) AS p FROM scanned_documents"
+    items = f"SELECT scan_id, pk, p.image_height::DOUBLE AS high, generate_subscripts(p.items, 1) AS ik, unnest(p.items, recursive := false) AS i FROM ({pages}) WHERE p.image_height > 0"
+    tokens = f"SELECT scan_id, pk, ik, high, {t1('i.text')} AS text, {', '.join(f'{e} AS {k}' for k, e in edge.items())} FROM ({items}) WHERE coalesce(len(i.bbox), 0) = 0 AND len({good}) > 0"
+    seen = f"SELECT *, (y0 + y1) / 2 AS y FROM ({tokens}) WHERE text <> '' AND (y0 + y1) / 2 >= high * {bottom}"
+    folded = f"""SELECT scan_id, pk, list_sort(list(greatest(1.0, y1 - y0)))[CAST(floor(count(*) / 2) AS INT) + 1] AS mid,
+  list({{'mean': y, 'n': 1, 'rows': [[{{'x': x0, 'y': y, 'at': ik, 'text': text}}]]}} ORDER BY y, x0, ik) AS t FROM ({seen}) GROUP BY scan_id, pk"""
+    near = f"greatest(3.0, mid * {max(0.25, tolerance)})"
+    joined = "{'mean': (a.mean * a.n + b.mean) / (a.n + 1), 'n': a.n + 1, 'rows': list_concat(a.rows[:-2], [list_concat(a.rows[-1], b.rows[1])])}"
+    apart = "{'mean': b.mean, 'n': 1, 'rows': list_concat(a.rows, b.rows)}"
+    reduced = f"SELECT scan_id, pk, list_reduce(t, lambda a, b: CASE WHEN b.mean - a.mean <= {near} THEN {joined} ELSE {apart} END).rows AS rows FROM ({folded})"
+    read = f"list_filter(list_transform(rows, lambda r: {t1("array_to_string(list_transform(list_sort(r), lambda w: w.text), ' ')")}), lambda x: x <> '')"
+    return f"SELECT scan_id, flatten(list({read} ORDER BY pk)) AS lines FROM ({reduced}) GROUP BY scan_id"
+
+
 def extracted(table: str = "scanned_documents", keys: str = "scan_id, packet_id, ordinal, source_name") -> str:
-    """X-12 without similarity, as the body of a CTE."""
+    """X-12 without similarity, as the body of a CTE; addresses are sought in the layout lines first."""
     x, d = "ocr_text", DEFAULTS
-    addresses = f"list_filter({all_matches(x, d['address_patterns'])}, lambda a: a <> '' AND NOT {ignored('a')})"
+    valid = f"lambda a: a <> '' AND NOT {ignored('a')}"
+    addresses = f"list_concat(list_filter(flatten(list_transform(coalesce(lines, []), lambda line: {all_matches('line', d['address_patterns'])})), {valid}), list_filter({all_matches(x, d['address_patterns'])}, {valid}))"
+    table = f"(SELECT * FROM {table} LEFT JOIN ({layout_lines()}) USING (scan_id))"
     kind = or_else(first_match(x, d["document_type_patterns"]), q("Field Notes"))
     return f"""SELECT {keys}, lookup AS is_lookup,
   CASE WHEN lookup THEN 'Unknown Lot' ELSE {t6(or_else(first_match('body', d['lot_pattern']), q('Unknown Lot')), q('Unknown Lot'))} END AS lot,

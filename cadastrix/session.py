@@ -3,20 +3,59 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLAN_TEXT = "spark.sql.maxPlanStringLength"
+
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One table of a data folder, with its parquet schema as stored."""
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a temporary one serves a local session; a cluster without it raises."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared:
+        return shared
+    if not context.master.startswith("local"):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="cadastrix-"))
+    return context.getCheckpointDir()
+
+
+@contextmanager
+def short_plan_texts(spark: SparkSession, most: int = 8192) -> Iterator[None]:
+    """Plan texts kept for display are cut while jobs with many steps run: with adaptive execution the driver would write and keep a
+    whole text of every plan at each change of it. A length set by the user stays."""
+    known = (spark.conf.get(PLAN_TEXT) or "").rstrip("b")
+    own = not (known.isdigit() and int(known) > 1 << 30)  # the default is the longest text there can be
+    if not own:
+        spark.conf.set(PLAN_TEXT, str(most))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(PLAN_TEXT)
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``; a folder is set only where none is."""
+    """Cut the lineage through the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cadastrix-"))
-    return df.checkpoint(eager=eager)
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    with short_plan_texts(spark):
+        return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, split_mb: int = 32) -> DataFrame:
+    """A small input comes in fewer splits than there are cores; before costly narrow work its rows are dealt out evenly. An input of
+    more than ``split_mb`` for each shuffle partition, or of unknown size, keeps its splits and is not shuffled."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(parts) if size < parts * split_mb << 20 else df

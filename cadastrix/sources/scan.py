@@ -70,6 +70,22 @@ def tokens(result: Any) -> list[dict[str, Any]]:
     return [t for t in map(token, result or []) if t is not None]
 
 
+_engines: dict[str, OcrEngine] = {}
+
+
+def cached_engine(name: str, build: Callable[[], OcrEngine]) -> OcrEngine:
+    """S-10, S-11: one engine a worker and setting (device, language, model), kept between tasks."""
+    if name not in _engines:
+        _engines.clear()
+        _engines[name] = build()
+    return _engines[name]
+
+
+def workers(wanted: int, device: str) -> int:
+    """S-9: at least one; a GPU serves one worker only."""
+    return 1 if device.startswith("gpu") else max(1, wanted)
+
+
 def recognise(files: DataFrame, engine: Callable[[], OcrEngine], dpi: int = 300, partitions: int | None = None) -> DataFrame:
     """S-2, S-4, S-9: content to ``ocr_pages`` and ``ocr_text`` (non-empty tokens, one per line). ``engine`` builds the adapter, once per
     worker (S-10); unreadable files give no pages. Order is that of ``ordinal``, never of arrival."""
@@ -121,7 +137,8 @@ class RegisterReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+            # of two different values asked of one column only the first goes to the service, Spark checks the other
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and self.predicates.get(f.attribute[0], f.value) == f.value:
                 self.predicates[f.attribute[0]] = f.value
             else:
                 yield f

@@ -35,7 +35,7 @@ def start(stream: DataFrame, known: DataFrame, config: Config, publish: Callable
 
 
 def publish_to(store: VersionedStore) -> Callable[[DataFrame, int], None]:
-    return lambda batch, _: store.append(batch.drop("ocr_pages")) and None
+    return lambda batch, number: store.append(batch.drop("ocr_pages"), number) and None
 
 
 @dataclass

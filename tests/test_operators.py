@@ -194,6 +194,159 @@ def test_store_and_filing(spark, tmp_path):
     assert (tmp_path / "out/F/a.txt").read_text() == "text" and (tmp_path / "a.pdf").exists()
 
 
+def test_filing_overwrites_nothing(spark, tmp_path):
+    out = tmp_path / "out"
+    (out / "F").mkdir(parents=True)
+    (out / "F/a.pdf").write_bytes(b"other")
+    for n in ("1", "2"):
+        (tmp_path / f"{n}.pdf").write_bytes(n.encode())
+    cols = "doc_id string, source_path string, dest string, mode string"
+    plan = spark.createDataFrame([(n, str(tmp_path / f"{n}.pdf"), "F/a.pdf", "move") for n in ("1", "2")], cols).coalesce(1)
+
+    def writer(path, row):
+        with open(path, "ab") as f:
+            f.write(b" meta")
+
+    first = {x.doc_id: x.filed_path for x in store.execute_filing(plan, str(out), writer).collect()}
+    again = {x.doc_id: (x.filed_path, x.error) for x in store.execute_filing(plan, str(out), writer).collect()}
+    assert again == {k: (v, "") for k, v in first.items()} and sorted(p.name for p in (out / "F").iterdir()) == ["a (2).pdf", "a (3).pdf", "a.pdf"]
+    assert (out / "F/a.pdf").read_bytes() == b"other" and (out / "F/a (2).pdf").read_bytes() == b"1 meta"
+    assert not (tmp_path / "1.pdf").exists() and {x.dest for x in store.taken_names(spark, str(out)).collect()} == {"F/a.pdf", "F/a (2).pdf", "F/a (3).pdf"}
+
+
+def test_filing_jobs(spark, tmp_path):
+    cols = "doc_id string, scan_id long, packet_id long, ordinal int, source_path string, source_name string, is_lookup boolean, status string, lot string, address string, document_type string, project_code string, section string, tax_map string, parcel string, tax_id string, folder_name string, file_name string, ocr_text string"
+    kinds = ["Site Plan", "Wall Check", "Lookup Only", "Site Plan"]
+    for i in range(3):
+        (tmp_path / f"{i}.pdf").write_bytes(b"x")
+    rows = [(str(i), i, i // 3, i, str(tmp_path / f"{i}.pdf"), f"{i}.pdf", k == "Lookup Only", "ready", str(5 + i), "1 A St", k, "P", "", "", "", "", "", f"{k}.pdf", "words") for i, k in enumerate(kinds)]
+    queue = store.VersionedStore(spark, str(tmp_path / "queue"))
+    queue.append(spark.createDataFrame(rows, cols), 0)
+    single = store.file_documents(queue, str(tmp_path / "out"), copy=True, only=spark.createDataFrame([("1",)], "doc_id string")).collect()
+    assert [(x.doc_id, x.error) for x in single] == [("1", "")] and {x.doc_id for x in queue.read().collect()} == {"0", "2", "3"}
+    done = {x.doc_id: x for x in store.file_documents(queue, str(tmp_path / "out"), save_text=True).collect()}
+    assert done["0"].error == "" and "FileNotFoundError" in done["3"].error
+    assert [x.doc_id for x in queue.read().collect()] == ["3"]  # what failed stays
+    assert not (tmp_path / "2.pdf").exists() and not (tmp_path / "0.pdf").exists() and (tmp_path / "1.pdf").exists()
+    assert [(x.lot_number, x.file_count) for x in store.read_audit(spark, str(tmp_path / "out/filing_audit")).collect()] == [("5", 1)]
+    with pytest.raises(ValueError, match="no permanent"):
+        store.file_documents(queue, str(tmp_path / "out"), only=spark.createDataFrame([("9",)], "doc_id string"))
+
+
+def test_store_appends_parts_and_knows_batches(spark, tmp_path):
+    s = store.VersionedStore(spark, str(tmp_path / "s"), compact_after=3)
+    for batch in (0, 1, 1, 2, 3, 4):
+        s.append(spark.createDataFrame([(str(batch), "a"), ("0", "again")], "doc_id string, v string"), batch)
+    assert {x.doc_id: x.v for x in s.read().collect()} == {"0": s.read().where("doc_id = '0'").first().v} | {str(i): "a" for i in range(1, 5)}
+    assert len(s._pointer()["parts"]) <= 3 and s.read().count() == 5
+
+
+def test_names_beyond_the_last_number_raise(spark, monkeypatch):
+    monkeypatch.setattr(review, "MOST_CLAIMS", 2)
+    plan = spark.createDataFrame([(1, i, i, "A", "x.pdf") for i in range(3)], "packet_id int, ordinal int, scan_id int, folder_name string, file_name string")
+    with pytest.raises(Exception, match="no free name"):
+        review.unique_paths(plan).collect()
+
+
+def test_ranks_of_a_hot_group(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["hot"] * 9 + ["a", "b", None]), r.randrange(50), i) for i in range(900)]
+    got = {x.i: x.at for x in review.ranked(spark.createDataFrame(rows, "k string, o int, i int"), ["k"], ["o", "i"], "at").collect()}
+    want = {}
+    for k in {x[0] for x in rows}:
+        want |= {i: n for n, (_, i) in enumerate(sorted((o, i) for q, o, i in rows if q == k), 1)}
+    assert got == want
+
+
+def _fetch(columns, predicates, limit):
+    rows = [{c: "x" for c in columns} | {columns[0]: f"Velden {i}", columns[1]: str(i % 2)} for i in range(6)]
+    return [r for r in rows if all(r[k] == v for k, v in predicates.items())][:limit]
+
+
+def test_register_source_pushes_equality(spark):
+    f = list(register.FIELDS.values())
+    reader = scan.RegisterReader(scan.RegisterSource({}).schema(), {"fetch": f"{__name__}:_fetch"})
+    from pyspark.sql.datasource import EqualTo
+
+    assert list(reader.read(reader.partitions()[0])) == []
+    left = list(reader.pushFilters([EqualTo((f[1],), "1"), EqualTo((f[1],), "0"), EqualTo((f[1],), "1")]))
+    assert left == [EqualTo((f[1],), "0")] and reader.predicates == {f[1]: "1"}
+    assert [r[0] for r in reader.read(reader.partitions()[0])] == ["Velden 1", "Velden 3", "Velden 5"]
+
+
+def test_edits_ask_the_register(spark, reg):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2026, 1, n)
+    fields = ["address", "lot", "tax_map", "parcel", "tax_id", "section", "project_code"]
+    rows = [(1, 7, 1, 1, "Site Plan", False), (2, 7, 2, 2, "Wall Check", False), (3, 7, 3, 3, "Lookup Only", True), (4, 8, 1, 4, "Site Plan", False)]
+    docs = spark.createDataFrame(rows, "record_id long, packet_id long, ordinal int, scan_id long, document_type string, is_lookup boolean").withColumns({f: F.lit("") for f in [*fields, "source_name"]})
+    cols = "update_id long, record_id long, packet_id long, changed_field string, tax_id string, address string, lot string, document_type string, auto_folder boolean, folder_name string, file_name string, updated_at timestamp"
+    edits = [
+        (1, 2, 7, "tax_id", "05-123456", None, None, None, True, None, None, day(1)), (2, 1, 7, "lot", None, None, "99", None, False, "My folder", "typed.name.pdf", day(2)),
+        (3, 4, 8, "address", None, "44 Oak Ln", None, None, True, "ignored", None, day(1)),
+    ]
+    updates = spark.createDataFrame(edits, cols).withColumns({f: F.lit(None).cast("string") for f in ("project_code", "tax_map", "parcel", "section")}).withColumn("auto_file_name", F.lit(False))
+    got = {x.record_id: x for x in review.apply_updates(docs, updates, "batch", known=reg, county="A").collect()}
+    assert got[1].address == got[2].address == "00012 MAIN ST MD" and got[3].address == ""  # the packet's first document is asked for, print-outs stay
+    assert got[1].lot == got[2].lot == "99" and got[1].tax_map == "0012"  # edited after the lookup
+    assert got[1].folder_name == "My folder" and got[1].file_name == "typed.name.pdf" and got[2].folder_name == "Lot 99 - 00012 MAIN ST MD"
+    assert got[4].tax_id == "" and got[4].address == "44 Oak Ln"  # no such place in the county
+    alone = {x.record_id: x for x in review.apply_updates(docs, updates, "mass", known=reg).collect()}
+    assert alone[1].address == "" and alone[2].tax_id == "05-123456" and alone[2].address == "00012 MAIN ST MD" and alone[4].tax_id == "06-00123456"
+
+
+def test_packet_refresh_takes_the_first_document(spark, reg):
+    cols = "doc_id long, packet_id long, ordinal int, scan_id long, is_lookup boolean, lot string, address string, tax_map string, parcel string, tax_id string, section string"
+    docs = spark.createDataFrame([(1, 1, 1, 1, True, "", "", "", "", "06-00123456", ""), (2, 1, 2, 2, False, "a", "b", "", "", "05-123457", "s"), (3, 1, 3, 3, False, "", "", "", "", "06-00123456", "")], cols)
+    got = {x.doc_id: x for x in register.refresh_packets(docs, reg, "tax_id", "A").collect()}
+    assert got[2].tax_id == got[3].tax_id == "05-123457" and got[3].lot == "8" and got[3].section == "s" and got[1].lot == ""
+    by_map = {x.doc_id: x for x in register.refresh(docs.withColumn("parcel", F.lit("36")), reg, "parcel", "B").collect()}
+    assert by_map[3].lot == "9" and by_map[1].lot == ""
+
+
+def test_issue_messages_of_every_form(spark):
+    values = [None, " ", "one", '["a", {"message": "b"}, {"error": "c"}, " "]', '{"detail": "d"}', '{"x": 1}', "[not a list"]
+    got = [x.m for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(review.messages(F.col("v")).alias("m")).collect()]
+    assert got == [[], [], ["one"], ["a", "b", "c"], ["d"], [], ["[not a list"]]
+
+
+def test_model_labels_saved_and_cached(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, "field_notes" if i % 2 else "not_field_notes", [float(i % 2) + r.random() for _ in range(12)] + [r.random() for _ in range(12)]) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id int, label string, features array<double>")
+    model, report = visual.train(frame, trees=20, path=str(tmp_path / "m"))
+    assert report["held_out"] and set(report["per_class"]) == {"field_notes", "not_field_notes"} and report["accuracy"] > 0.8
+    loaded = visual.cached_model(str(tmp_path / "m"))
+    assert loaded is visual.cached_model(str(tmp_path / "m"))
+    out = visual.classify(frame, model=loaded).collect()
+    assert sum(x.visual_label == x.label for x in out) > 70 and all(0.5 <= x.confidence <= 1 for x in out)
+
+
+def test_folder_gives_section_and_project():
+    from cadastrix.plans.config import ScanSettings, folder_names, named_run
+
+    assert [folder_names(p) for p in ("/x/ab12", "/x/ab12.3 - east", "/x/ab12.3/", "")] == [("ab12", ""), ("ab12", "3"), ("ab12", "3"), ("", "")]
+    run = named_run(ScanSettings(output_folder="/x/ab12.3-east"))
+    assert (run.project_code, run.section) == ("AB12", "3")
+    assert named_run(ScanSettings(output_folder="/x/ab12", project_code="own")).project_code == "OWN"
+    assert scan.workers(4, "gpu:0") == 1 and scan.workers(0, "cpu") == 1
+    first = scan.cached_engine("a", lambda: object())
+    assert scan.cached_engine("a", lambda: object()) is first
+
+
+def test_windows_equal_plain_search_over_many_phrases():
+    config = load_config()
+    r = random.Random(11)
+    for _ in range(40):
+        words = [r.choice(["wall chegk", "slte plxn", "house locetlon", "the north", "plat", "of lot", "pler plen"]) for _ in range(r.randrange(1, 6))]
+        body = " ".join("".join(c if r.random() > 0.1 else r.choice("abcdefghi ") for c in w) for w in words)
+        got = extract.similar_type(extract.fold(body), config.keywords())
+        best = ("Field Notes", 0.0)
+        want = brute_type(body, config)
+        assert (got[0] if got else best[0]) == want
+
+
 def test_scan_folder_and_stream(spark, tmp_path):
     for n in ("b.PDF", "a.pdf", "note.txt"):
         (tmp_path / n).write_bytes(b"LOT 5")
