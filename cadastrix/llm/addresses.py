@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.register import FIELDS as FIELDS_OF_REGISTER
 from ..session import checkpoint
 from .doctype import distance
 
@@ -170,7 +171,8 @@ def parsed(values: pd.Series) -> pd.DataFrame:
 
 COSINE = 0.45
 DOMINATES = 3
-RARE = 0.1
+#: Share of the commonest spelling of a direction, type and town from which a spelling is searched in the first round.
+COMMON = 0.1
 PARTIAL = 10
 SPELLING = ["direction", "name"]
 
@@ -206,21 +208,8 @@ def prefix_grams(name: str, idf: dict[str, float], least: float = COSINE) -> lis
     return out
 
 
-def name_index(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Index of street names (direction, name): from spellings (direction, name) to the pairs (direction, name, other, d) of any name
-    with one of them, ``other``, that may be one.
-
-    The bigram statistics cover all names; there are at most 29 x 29 bigrams, so their weights may be broadcast.
-    """
-    letters = F.filter(F.split(F.concat(F.lit("^"), "name", F.lit("$")), ""), lambda c: c != "")
-    pieces = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.concat(F.element_at("_c", i), F.element_at("_c", i + 1)))
-    counted = names.select(letters.alias("_c")).select(F.explode(F.array_distinct(pieces)).alias("gram")).groupBy("gram").count().collect()
-    total = max((r["count"] for r in counted), default=1)
-    idf = {r["gram"]: math.sqrt(math.log(1 + total / r["count"]) + 0.1) for r in counted}
-
-    @F.pandas_udf("array<struct<gram:string,at:int>>")
-    def first(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: [{"gram": g, "at": i} for p in [set(prefix_grams(v, idf))] for i, g in enumerate(grams(v)) if g in p])
+def verify(idf: dict[str, float]) -> Callable[[Column | str, Column | str], Column]:
+    """Edits between two names of like grams, -1 where they are too many."""
 
     @F.pandas_udf("int")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -235,6 +224,31 @@ def name_index(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
             out.append(d if d <= most else -1)
         return pd.Series(out)
 
+    return verified
+
+
+def gram_weights(names: DataFrame) -> dict[str, float]:
+    """Weight of each bigram over all names; there are at most 29 x 29."""
+    letters = F.filter(F.split(F.concat(F.lit("^"), "name", F.lit("$")), ""), lambda c: c != "")
+    pieces = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.concat(F.element_at("_c", i), F.element_at("_c", i + 1)))
+    counted = names.select(letters.alias("_c")).select(F.explode(F.array_distinct(pieces)).alias("gram")).groupBy("gram").count().collect()
+    total = max((r["count"] for r in counted), default=1)
+    return {r["gram"]: math.sqrt(math.log(1 + total / r["count"]) + 0.1) for r in counted}
+
+
+def name_index(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Index of street names (direction, name): from spellings (direction, name) to the pairs (direction, name, other, d) of any name
+    with one of them, ``other``, that may be one.
+
+    The bigram statistics cover all names; there are at most 29 x 29 bigrams, so their weights may be broadcast.
+    """
+    idf = gram_weights(names)
+
+    @F.pandas_udf("array<struct<gram:string,at:int>>")
+    def first(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [{"gram": g, "at": i} for p in [set(prefix_grams(v, idf))] for i, g in enumerate(grams(v)) if g in p])
+
+    verified = verify(idf)
     # two names within two edits hold a shared gram at most two places apart, so the place is part of the index key
     keyed = checkpoint(names.select(*SPELLING, F.explode(first("name")).alias("_g")).select(*SPELLING, "_g.gram", "_g.at"))
     left = keyed.select("direction", "gram", "name", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"))
@@ -263,42 +277,78 @@ def _rivals(streets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(F.col("other_n") >= DOMINATES * F.col("own"))
 
 
-def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame:
-    """Streets of every written form: FORM columns, ``street`` ('direction name type' of the register), ``d`` (edits of its name), ``exact``.
+KEY = ["direction", "name", "type", "town"]
+Pairs = Callable[[DataFrame], DataFrame]
+
+
+def forms_of(register_forms: DataFrame, other_forms: DataFrame | None = None) -> DataFrame:
+    """Distinct written forms (FORM) with ``n``, how often the register has each (0: only the others)."""
+    forms = register_forms.where("name <> ''").groupBy(*FORM).agg(F.count("*").alias("n"))
+    if other_forms is not None:
+        forms = forms.unionByName(other_forms.where("name <> ''").groupBy(*FORM).agg(F.lit(0).cast("long").alias("n"))).groupBy(*FORM).agg(F.sum("n").alias("n"))
+    return checkpoint(forms)
+
+
+def _with_right_names(streets: DataFrame, pairs: DataFrame) -> DataFrame:
+    stands = _rivals(streets, pairs).groupBy(*KEY).agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
+    return streets.join(stands, KEY, "left")
+
+
+def _streets(forms: DataFrame) -> DataFrame:
+    return forms.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max_by("zip", F.struct(F.col("zip") != "", "n", "zip")).alias("street_zip"))
+
+
+def full_streets(forms: DataFrame, index: Pairs) -> tuple[DataFrame, DataFrame]:
+    """Streets that the register writes with type and town, with the spelling that stands for each, and the pairs (name, other, d) of every
+    form's name with the streets it may mean.
 
-    Both inputs have the FORM columns, one row per address. A register form that no street written with type and town fits is a street of
-    its own. Another form is left out where no street fits it; one has several rows where several fit with equally few edits: its type and town (or ZIP), where given, must be the street's; a spelling gives way to one
-    that is ``DOMINATES`` times as frequent.
+    The commonest spellings are searched first. A rarer one stands for a street too, unless a spelling that dominates it was found among
+    them: pairs of two misspellings of one street are then never formed, and no street is left out.
     """
-    reg = register_forms.where("name <> ''").groupBy(*FORM).agg(F.count("*").alias("n"))
-    oth = other_forms.where("name <> ''").groupBy(*FORM).agg(F.lit(0).cast("long").alias("n"))
-    forms = checkpoint(reg.unionByName(oth).groupBy(*FORM).agg(F.sum("n").alias("n")))
-    full = forms.where("n > 0 AND type <> '' AND town <> ''")
-    streets = checkpoint(full.groupBy("direction", "name", "type", "town").agg(F.sum("n").alias("n"), F.max_by("zip", F.struct(F.col("zip") != "", "n", "zip")).alias("street_zip")))
-    index = name_index(checkpoint(forms.select(*SPELLING).distinct()))
-    # the commonest spellings first; a rarer one stands for a street too, unless a spelling that dominates it was found among them
+    streets = checkpoint(_streets(forms.where("n > 0 AND type <> '' AND town <> ''")))
     most = streets.groupBy("direction", "type", "town").agg(F.max("n").alias("most"))
-    common = checkpoint(streets.join(most, ["direction", "type", "town"]).where(F.col("n") >= RARE * F.col("most")).select(*SPELLING).distinct())
+    common = checkpoint(streets.join(most, ["direction", "type", "town"]).where(F.col("n") >= COMMON * F.col("most")).select(*SPELLING).distinct())
     pairs = checkpoint(index(common))
-    key = ["direction", "name", "type", "town"]
-    rest = checkpoint(streets.join(common, SPELLING, "left_anti").join(_rivals(streets, pairs), key, "left_anti").select(*SPELLING).distinct())
+    rest = streets.join(common, SPELLING, "left_anti").join(_rivals(streets, pairs), KEY, "left_anti").select(*SPELLING).distinct()
     itself = forms.where("n > 0").select(*SPELLING, F.col("name").alias("other"), F.lit(0).alias("d"))
     pairs = checkpoint(pairs.unionByName(index(rest)).unionByName(itself).distinct())
-    # which spelling stands for each street
-    stands = _rivals(streets, pairs).groupBy(*key).agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
-    streets = streets.join(stands, key, "left")
-    each = checkpoint(_fitting(forms, pairs, streets))
-    # register forms that no such street fits are streets of their own, by what is known of them; one without type only where no typed one fits
-    left = forms.join(each.select(*FORM).distinct(), FORM, "left_anti")
-    left = checkpoint(left.join(left.where("n > 0").select("direction").distinct(), "direction", "left_semi"))
-    partial = checkpoint(left.where("n > 0").groupBy(*key).agg(F.sum("n").alias("n"), F.max_by("zip", F.struct(F.col("zip") != "", "n", "zip")).alias("street_zip")))
+    return checkpoint(_with_right_names(streets, pairs)), pairs
+
+
+def partial_streets(left: DataFrame, index: Pairs) -> tuple[DataFrame, DataFrame]:
+    """Register forms that fit no full street are streets of their own, by what is known of them; one without type only where no typed one fits."""
+    partial = checkpoint(_streets(left.where("n > 0")))
     pairs = checkpoint(index(partial.select(*SPELLING).distinct()).join(left.select(*SPELLING).distinct(), SPELLING, "left_semi"))
     typed = partial.where("type <> ''").select("direction", F.col("name").alias("other"), F.col("town").alias("other_town"))
-    covered = partial.where("type = ''").join(pairs, SPELLING).join(typed, ["direction", "other"]).where(_same_town(F.col("town"), F.col("other_town"))).select(*key).distinct()
-    partial = checkpoint(partial.join(covered, key, "left_anti"))
-    stands = _rivals(partial, pairs).groupBy(*key).agg(F.max_by("other", F.struct("other_n", "other")).alias("right_name"))
-    # of the two addresses of a register row one on a street of the first kind counts, whatever its edits
-    return each.unionByName(_fitting(left, pairs, partial.join(stands, key, "left")).withColumn("d", F.col("d") + PARTIAL))
+    covered = partial.where("type = ''").join(pairs, SPELLING).join(typed, ["direction", "other"]).where(_same_town(F.col("town"), F.col("other_town"))).select(*KEY).distinct()
+    return checkpoint(_with_right_names(partial.join(covered, KEY, "left_anti"), pairs)), pairs
+
+
+def fit_forms(forms: DataFrame, full: DataFrame, full_pairs: DataFrame, partial: DataFrame | None = None, partial_pairs: DataFrame | None = None) -> DataFrame:
+    """The street index of the forms: full streets first, then partial ones (of the two addresses of a register row one on a full street
+    counts, whatever its edits)."""
+    each = checkpoint(_fitting(forms, full_pairs, full))
+    if partial is None or partial_pairs is None:
+        return each
+    left = forms.join(each.select(*FORM).distinct(), FORM, "left_anti")
+    return each.unionByName(_fitting(left, partial_pairs, partial).withColumn("d", F.col("d") + PARTIAL))
+
+
+def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame:
+    """Streets of every written form: FORM columns, ``street`` ('direction name type' of the register), ``d`` (edits of its name), ``exact``.
+
+    Both inputs have the FORM columns, one row per address. A form of the others is left out where no street fits it; a form has several
+    rows where several fit with equally few edits: its type and town (or ZIP), where given, must be the street's; a spelling gives way to
+    one that is ``DOMINATES`` times as frequent.
+    """
+    forms = forms_of(register_forms, other_forms)
+    index = name_index(checkpoint(forms.select(*SPELLING).distinct()))
+    full, pairs = full_streets(forms, index)
+    each = fit_forms(forms, full, pairs)
+    left = forms.join(each.select(*FORM).distinct(), FORM, "left_anti")
+    left = checkpoint(left.join(left.where("n > 0").select("direction").distinct(), "direction", "left_semi"))
+    partial, pairs = partial_streets(left, index)
+    return each.unionByName(_fitting(left, pairs, partial).withColumn("d", F.col("d") + PARTIAL))
 
 
 def _fitting(forms: DataFrame, pairs: DataFrame, streets: DataFrame) -> DataFrame:
@@ -315,14 +365,8 @@ def _fitting(forms: DataFrame, pairs: DataFrame, streets: DataFrame) -> DataFram
 
 # ---------------------------------------------------------------- the tables of the project
 
-REGISTER = {
-    "premise_number": "premise_address_number_mdp_field_premsnum_sdat_field_20", "premise_name": "premise_address_name_mdp_field_premsnam_sdat_field_23",
-    "premise_type": "premise_address_type_mdp_field_premstyp_sdat_field_24", "premise_city": "premise_address_city_mdp_field_premcity_sdat_field_25",
-    "premise_zip": "premise_address_zip_code_mdp_field_premzip_sdat_field_26", "mdp_address": "mdp_street_address_mdp_field_address",
-    "mdp_city": "mdp_street_address_city_mdp_field_city", "mdp_zip": "mdp_street_address_zip_code_mdp_field_zipcode",
-    "lot": "lot_mdp_field_lot_sdat_field_41", "map": "map_mdp_field_map_sdat_field_42", "parcel": "parcel_mdp_field_parcel_sdat_field_44",
-    "district": "record_key_district_ward_sdat_field_2", "account": "record_key_account_number_sdat_field_3",
-}
+#: Names of the register's columns used here.
+REGISTER = {k: FIELDS_OF_REGISTER[k] for k in ("premise_number", "premise_name", "premise_type", "premise_city", "premise_zip", "mdp_address", "mdp_city", "mdp_zip", "lot", "map", "parcel", "district")} | {"account": FIELDS_OF_REGISTER["account_number"]}
 
 
 def register_addresses(register: DataFrame) -> DataFrame:
@@ -351,9 +395,9 @@ def split_towns(forms: DataFrame, register_forms: DataFrame) -> DataFrame:
     open_ = (F.col("type") == "") & (F.col("town") == "") & (F.length("name") >= 9)
     ends = F.explode(F.transform(F.sequence(F.lit(5), F.least(F.lit(20), F.length("name") - 3)), lambda n: F.substring("name", F.length("name") - n + 1, n))).alias("_town")
     names = forms.where(open_).select("name").distinct().select("name", ends).join(towns, "_town").groupBy("name").agg(F.max_by("_town", F.length("_town")).alias("_town"))
-    rows = forms.withColumn("_key", F.when(open_, F.col("name"))).join(names.withColumnRenamed("name", "_key"), "_key", "left")
     cut = F.expr("substring(name, 1, length(name) - length(_town))")
-    return rows.withColumn("name", F.coalesce(cut, "name")).withColumn("town", F.coalesce("_town", "town")).drop("_key", "_town")
+    ending = forms.where(open_).join(names, "name", "left").withColumn("town", F.coalesce("_town", "town")).withColumn("name", F.coalesce(cut, "name")).drop("_town")
+    return forms.where(~open_).unionByName(ending)
 
 
 def located(register: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -363,29 +407,48 @@ def located(register: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFra
     return reg, rec, checkpoint(street_index(reg, rec))
 
 
+def house() -> Column:
+    """Name of a place: house number and street."""
+    return F.concat_ws(" ", "number", "street").alias("place")
+
+
+def register_places(reg: DataFrame, index: DataFrame) -> DataFrame:
+    """(register_id, place) of the rows whose address names a house. Where premise and mdp address of a row are different places, the one
+    with fewer edits counts, then the premise."""
+    one = reg.where("number <> ''").join(index, FORM).select("register_id", house(), "d", "street_n", "field")
+    return checkpoint(one.groupBy("register_id").agg(F.min_by("place", F.struct("d", "field", -F.col("street_n"), "place")).alias("place")))
+
+
 def places(register: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(register_id, place) and (record_id, place): the place of each row whose address names a house on a street of the register.
 
-    Where premise and mdp address of a register row are different places, the one with fewer edits counts, then the premise. A
-    record is placed where the register has a house; an address that fits houses on several streets is no evidence for any.
+    A record is placed where the register has a house; an address that fits houses on several streets is no evidence for any.
     """
     reg, rec, index = located(register, records)
-    place = F.concat_ws(" ", "number", "street").alias("place")
-    one = reg.where("number <> ''").join(index, FORM).select("register_id", place, "d", "street_n", "field")
-    one = checkpoint(one.groupBy("register_id").agg(F.min_by("place", F.struct("d", "field", -F.col("street_n"), "place")).alias("place")))
-    maybe = rec.where("number <> ''").join(index, FORM).select("record_id", place)
+    one = register_places(reg, index)
+    maybe = rec.where("number <> ''").join(index, FORM).select("record_id", house())
     there = maybe.join(one.select("place").distinct(), "place")
     two = there.groupBy("record_id").agg(F.min("place").alias("place"), F.max("place").alias("_other")).where("place = _other").select("record_id", "place")
     return one, two
 
 
+def place_classes(register: DataFrame, records: DataFrame) -> DataFrame:
+    """One row per placed row: id, source ('register' or 'record'), its class ``place`` and ``links``, the number of rows it is paired with
+    (register rows: all others of the place; records: the register rows). Counts only, so a place of any size costs one row per member."""
+    reg, rec = places(register, records)
+    rows = checkpoint(reg.select(F.col("register_id").alias("id"), F.lit("register").alias("source"), "place").unionByName(rec.select(F.col("record_id").alias("id"), F.lit("record").alias("source"), "place")))
+    size = rows.groupBy("place").agg(F.count(F.when(F.col("source") == "register", 1)).alias("_reg"), F.count(F.when(F.col("source") == "record", 1)).alias("_rec"))
+    links = F.when(F.col("source") == "register", F.col("_reg") - 1 + F.col("_rec")).otherwise(F.col("_reg"))
+    return rows.join(size, "place").select("id", "source", "place", links.alias("links"))
+
+
 def same_place_pairs(register: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b), smaller first, of rows of one place: two register rows, or a register row and a record.
+    """Pairs (id_a, id_b), smaller first, of rows of one place: two register rows, or a register row and a record; the links of
+    ``place_classes`` written out.
 
     Rows without id, house number or street have no pair; repeated ids count once; empty tables give no pairs.
     """
     reg, rec = places(register, records)
-    reg = checkpoint(reg)
     left = reg.select("place", F.col("register_id").alias("id_a"))
     both = left.join(reg.select("place", F.col("register_id").alias("id_b")), "place").where("id_a < id_b")
     cross = left.join(rec.select("place", F.col("record_id").alias("id_b")), "place")

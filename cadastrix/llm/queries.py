@@ -24,6 +24,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
 
 
+def p2_places(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.place_classes(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
+
+
 def _pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.with_spans(table(spark, d, "scanned_documents").select("scan_id", "ocr_text"))
 
@@ -86,7 +90,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_redacted, p4_found, p4_unmatched, p5_found, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_places, p3_found, p3_redacted, p4_found, p4_unmatched, p5_found, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
