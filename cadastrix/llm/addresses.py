@@ -429,7 +429,7 @@ def places(register: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFram
     maybe = rec.where("number <> ''").join(index, FORM).select("record_id", house())
     there = maybe.join(one.select("place").distinct(), "place")
     two = there.groupBy("record_id").agg(F.min("place").alias("place"), F.max("place").alias("_other")).where("place = _other").select("record_id", "place")
-    return one, two
+    return one, checkpoint(two)
 
 
 def place_classes(register: DataFrame, records: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Free-entered document types mapped to the reference list.
 
 Every value is folded (case, separators, characters that scanners confuse) and run through one multi-pattern automaton
-that holds all labels, phrases and known aliases. Of the embedded mentions the longest non-overlapping ones win. A value
-without a mention goes to token-set similarity, where the aliases compete with a list of entries known to be no type.
+that holds all labels and phrases, once as they stand and once with customary short forms of words written out. Of the embedded mentions the longest non-overlapping ones win. A value
+without a mention goes to token-set similarity, where the names compete with a list of entries known to be no type.
 
 The operator is narrow: no shuffle, each worker keeps a bounded cache of the values it has seen.
 """
@@ -22,52 +22,28 @@ from pyspark.sql import types as T
 # Characters that scanners confuse, folded to one letter.
 FOLD = {"0": "o", "1": "l", "|": "l", "!": "l", "i": "l", "3": "e", "5": "s", "$": "s", "@": "a", "4": "a", "8": "b", "6": "g", "+": "t"}
 
-# Customary other names of the entries of the list, by label.
-ALIASES = {
-    "Site Plan": ["st pln", "plot plan", "plan of the site", "site pln"],
-    "House Location": ["hse loc", "house loc", "location drawing of house", "hse location", "house locn"],
-    "Wall Check": ["wall chk", "fdn wall ck", "fdn wall check", "foundation wall chk", "wall ck"],
-    "Plat/Replat": ["plat or replat", "re plat", "replatting", "replat", "plat and replat"],
-    "Construction Permit": ["constr permit", "const prmt", "construction prmt", "constr prmt"],
-    "Field Notes": ["fld notes", "notes from field", "fieldnotes", "field book", "fld nts"],
-    "Pier Plan": ["pier pln", "pier layout", "helical pier plan"],
-    "Boundary Survey": ["bndry svy", "bdry survey", "survey of boundary", "boundary svy"],
-    "Topographic Survey": ["topo survey", "topographical svy", "contour survey", "topographic svy", "topographical survey"],
-    "Grading Plan": ["grading pln", "grdg plan", "plan of grading", "grdg pln"],
-    "Stormwater Management Plan": ["storm water mgmt plan", "stormwtr mgt plan", "stormwater mgmt plan", "swm pln", "storm water management plan"],
-    "Sediment Control Plan": ["sed control plan", "e&s control plan", "erosion control plan", "e and s control plan"],
-    "Septic Layout": ["septic fld layout", "layout of septic", "septic lay out"],
-    "Well Location": ["well loc", "loc of well", "location of well", "well locn"],
-    "Easement Exhibit": ["easement sketch exhibit", "easemt exh", "esmt exhibit", "easement exh"],
-    "Deed Description": ["legal descr of deed", "metes & bounds", "metes and bounds", "deed descr", "deed desc", "legal description of deed"],
-    "Elevation Certificate": ["elev cert", "flood elev certificate", "elevation cert", "elev certificate", "flood elev cert"],
-    "As-Built Drawing": ["as blt dwg", "asbuilt", "as built dwg", "drawing as built"],
-    "Utility Plan": ["utility pln", "util plan", "plan of utilities", "utilities plan", "util pln"],
-    "Landscape Plan": ["lscape plan", "landscp plan", "landscape pln"],
-    "Forest Conservation Plan": ["forest conserv pln", "forest cons plan", "fcp", "forest conserv plan"],
-    "Critical Area Exhibit": ["crit area exhibit", "critical area exh", "crit area exh"],
-    "Driveway Profile": ["drvwy profile", "profile of driveway", "driveway prof"],
-    "Stakeout Sheet": ["stakeout sht", "stake out sheet", "stk out sheet", "stk out sht"],
-    "Control Point Sketch": ["ctrl pt sketch", "control pt sketch", "ctrl point sketch"],
-    "Road Dedication Plat": ["road dedic plat", "rd dedication plat", "rd dedic plat"],
-    "Condominium Plat": ["plat of condominium", "condo plt"],
-    "Perc Test Report": ["perc test rpt", "percolation rpt", "perk test report", "percolation test report", "perk test"],
-    "Soil Boring Log": ["soil boring lg", "soils boring log", "log of boring", "boring lg"],
-    "Shoreline Survey": ["shoreline svy", "shore line survey", "mhw survey"],
-    "Demolition Permit": ["demolition prmt", "demo permit", "demo prmt"],
-    "Lookup Only": ["lookup sheet", "look up only", "register look up", "register lookup"],
-}
-
-# Entries that name no document type; they compete with the aliases so that a misspelt one is not forced.
-NO_TYPE = [
-    "x", "n/a", "photo", "misc", "miscellaneous", "to be sorted", "cover letter", "cover letter from owner", "unknown ask office", "unknown", "business card", "invoice",
-    "receipt", "parking sketch for picnic", "blank back side", "see dalia", "mileage form", "document", "fax transmittal",
-    "timesheet wk", "timesheet", "envelope", "insurance letter", "calendar page", "none", "blank", "other", "photograph",
-]
+# Customary short forms of words in the names of survey and permit documents.
+SHORT = {
+    "address": "addr", "amendment": "amend amdt", "approved": "appr apprd", "area": "ar", "boundary": "bndry bdry bound bdy", "boring": "brg bor", "building": "bldg", "certificate": "cert certif crt", "check": "chk ck", "condominium": "condo condomin",
+    "conservation": "conserv cons consv", "construction": "constr const constrn", "contour": "contr", "control": "ctrl cntrl ctl contrl", "critical": "crit critl", "dedication": "dedic ded dedn", "deed": "dd", "demolition": "demo demol", "description": "descr desc descrip",
+    "drawing": "dwg drwg drg draw", "driveway": "drvwy dwy drwy drvway", "easement": "easemt esmt easmt esmnt", "elevation": "elev elevn", "erosion": "eros", "exhibit": "exh exhib exhbt", "field": "fld", "forest": "for frst", "foundation": "fdn found fndn fnd",
+    "grading": "grdg grad grd", "house": "hse hs", "landscape": "lscape landscp lndscp lscp", "layout": "lyt layt", "legal": "lgl", "location": "loc locn locat", "log": "lg", "management": "mgmt mgt mgm", "notes": "nts nt", "percolation": "perc perk", "permit": "prmt perm pmt",
+    "pier": "pr", "plan": "pln pl", "plat": "plt", "plot": "plt", "point": "pt pnt", "profile": "prof prfl", "property": "prop", "register": "reg", "report": "rpt rep rept", "road": "rd", "sediment": "sed sedmt", "septic": "sept sptc", "sheet": "sht sh", "shoreline": "shorel shln",
+    "site": "st", "sketch": "sk skt sktch", "soil": "sl soils", "stakeout": "stk stkout", "stormwater": "stormwtr stmwtr strmwtr stormw", "survey": "svy surv srvy sv", "test": "tst", "topographic": "topo topog topographical", "utility": "util utilities utl", "wall": "wl", "well": "wll",
+}
+# Other words of the trade for the same thing, words that are written apart or together, and initials.
+SYNONYMS = {
+    "plot plan": "site plan", "contour": "topographic", "perk": "perc", "percolation": "perc", "mhw": "mean high water", "e and s": "erosion and sediment", "e&s": "erosion and sediment", "replatting": "replat", "re plat": "replat", "replat": "plat replat", "metes & bounds": "metes and bounds",
+    "storm water": "stormwater", "stake out": "stakeout", "look up": "lookup", "lay out": "layout", "shore line": "shoreline", "as blt": "as built", "asbuilt": "as built", "fieldnotes": "field notes", "drive way": "driveway", "land scape": "landscape",
+}
+# General words for papers that are no such document; they compete with the names so that a misspelt one is not forced.
+NO_TYPE = ["x", "n/a", "photo", "photograph", "misc", "miscellaneous", "cover letter", "letter", "unknown", "business card", "invoice", "receipt", "document", "fax", "fax transmittal", "timesheet", "envelope", "none", "blank", "other", "form", "page", "note", "memo", "calendar", "picture", "mileage", "parking", "back side"]
 
 # Words around a value that say nothing about its type.
 DECOR = {"copy", "old", "the", "rev", "final", "dated", "lot", "sheet", "review", "for", "new", "draft", "of", "no", "nd", "rd", "st", "to", "page", "and", "from", "or"}
 SIMILAR = 0.72
+#: Names of fewer characters are found as whole values only, never inside other words.
+SHORTEST = 3
 CACHE = 200_000
 
 
@@ -109,41 +85,68 @@ def _closeness(a: str, b: str) -> float:
     return 1 - distance(a, b, longest // 2 + 1) / longest if longest else 0.0
 
 
+def _long_forms() -> dict[str, str]:
+    """Full word by folded short form; a form that two words share stays as it is."""
+    found: dict[str, set[str]] = {}
+    for word, shorts in SHORT.items():
+        for short in shorts.split():
+            found.setdefault(fold(short), set()).add(fold(word))
+    return {s: w.pop() for s, w in found.items() if len(w) == 1 and s not in {fold(x) for x in SHORT}}
+
+
 class TypeMatcher:
     """Automaton plus token-set similarity over one reference list; deterministic, at most ``CACHE`` values remembered."""
 
-    def __init__(self, entries: list[tuple[int, str, list[str]]], aliases: dict[str, list[str]] = ALIASES, similar: float = SIMILAR):
+    def __init__(self, entries: list[tuple[int, str, list[str]]], similar: float = SIMILAR):
         self.similar = similar
+        self.long = _long_forms()
+        self.synonyms = sorted(((fold(a), fold(b)) for a, b in SYNONYMS.items()), key=lambda x: -len(x[0]))
         self.names: list[tuple[str, int]] = []
-        seen: set[str] = set()
+        seen: dict[str, int] = {}
         for type_id, label, phrases in sorted(entries):
-            for name in [label, *(phrases or []), *aliases.get(label, [])]:
-                if name and (key := fold(name)) and key not in seen:
-                    seen.add(key)
-                    self.names.append((key, int(type_id)))
+            for name in [label, *(phrases or [])]:
+                for key in dict.fromkeys((fold(name), self.spelt(fold(name)))) if name else []:
+                    if key and key not in seen:
+                        seen[key] = int(type_id)
+        for key, type_id in list(seen.items()):
+            for other, usual in self.synonyms:
+                if re.search(rf"(?<![a-z0-9]){re.escape(usual)}(?![a-z0-9])", key):
+                    seen.setdefault(key.replace(usual, other), type_id)
+        # initials stand for the one entry that has them
+        initials: dict[str, set[int]] = {}
+        for key, type_id in seen.items():
+            if len(key.split()) >= 3:
+                initials.setdefault("".join(w[0] for w in key.split()), set()).add(type_id)
+        for key, ids in initials.items():
+            if len(ids) == 1 and key not in seen:
+                seen[key] = next(iter(ids))
+        self.names = list(seen.items())
         self.names += [(key, 0) for name in NO_TYPE if (key := fold(name)) and key not in seen]
         self.automaton = ahocorasick.Automaton()
         for key, type_id in self.names:
             compact = key.replace(" ", "")
-            if type_id and len(compact) >= 3:
+            if type_id and len(compact) >= SHORTEST:
                 self.automaton.add_word(compact, (len(compact), type_id))
         self.automaton.make_automaton()
+        self.whole = {key: type_id for key, type_id in self.names if type_id}
         self.token_sets = [frozenset(k.split()) - {"of", "the"} for k, _ in self.names]
-        self.grams: dict[str, int] = {}
-        for k, _ in self.names:
-            for g in self._grams(k):
-                self.grams.setdefault(g, len(self.grams))
-        self.matrix = np.zeros((len(self.names), max(1, len(self.grams))), dtype=np.float32)
-        for row, (k, _) in enumerate(self.names):
-            for g in self._grams(k):
-                self.matrix[row, self.grams[g]] = 1
-        self.norms = np.sqrt(self.matrix.sum(axis=1)) + 1e-9
+        self.sizes = np.array([max(1, len(k.replace(" ", ""))) for k, _ in self.names])
+        self.counts = np.stack([self._counts(k.replace(" ", "")) for k, _ in self.names])
+        self.telling = np.stack([self._counts("".join(t - DECOR or t)) for t in self.token_sets])
+        # two or more words that stand in the names of one entry only
+        self.of_words: dict[str, set[int]] = {}
+        for tokens, (_, type_id) in zip(self.token_sets, self.names, strict=True):
+            for word in tokens:
+                self.of_words.setdefault(word, set()).add(type_id)
         self.match = lru_cache(maxsize=CACHE)(self._match)
 
-    @staticmethod
-    def _grams(key: str) -> set[str]:
-        s = f"^{key.replace(' ', '')}$"
-        return {s[i : i + 2] for i in range(len(s) - 1)}
+    def spelt(self, key: str) -> str:
+        """A folded value with its short forms and synonyms written out."""
+        words = " ".join(self.long.get(w, w) for w in key.split())
+        for other, usual in self.synonyms:
+            if other in words:
+                words = re.sub(rf"(?<![a-z0-9]){re.escape(other)}(?![a-z0-9])", usual, words)
+        return words
 
     def mentions(self, key: str) -> list[tuple[int, int, int]]:
         """Embedded names as (start, length, type_id) over the compact text; longest first, none overlapping, on word boundaries."""
@@ -163,32 +166,54 @@ class TypeMatcher:
         key = fold(value)
         if not key:
             return 0, 0.0, "empty"
-        if found := self.mentions(key):
-            return found[0][2], 1.0, "mention"
-        core = _HEAD.sub("", _TAIL.sub("", _plain(value)))
-        best = max((self._similar(k) for k in {fold(core) or key, key}), key=lambda x: x[1])
+        forms = list(dict.fromkeys((key, self.spelt(key))))
+        for form in forms:
+            if form in self.whole:
+                return self.whole[form], 1.0, "mention"
+            if found := self.mentions(form):
+                return found[0][2], 1.0, "mention"
+        core = fold(_HEAD.sub("", _TAIL.sub("", _plain(value)))) or key
+        best = max((self._similar(k) for k in dict.fromkeys((core, self.spelt(core), *forms))), key=lambda x: x[1])
         if best[1] < self.similar:
             return 0, best[1], "none"
         return best[0], best[1], "similar" if best[0] else "no_type"
 
+    @staticmethod
+    def _counts(compact: str) -> np.ndarray:
+        return np.bincount([ord(c) - 48 if c.isdigit() else ord(c) - 87 for c in compact], minlength=36)[:36]
+
+    def _within(self, tokens: frozenset[str]) -> int:
+        """The one entry that has a name with all these words (two at least) and others, 0 where none or several have."""
+        plain = {w for w in tokens if w not in DECOR and not w.isdigit()}
+        for own in (plain, plain | {w for w in tokens & DECOR if w == "sheet"}):
+            if len(own) >= 2 and all(w in self.of_words for w in own):
+                found = {t for names, (_, t) in zip(self.token_sets, self.names, strict=True) if own <= names}
+                if len(found) == 1:
+                    return found.pop()
+        return 0
+
     def _similar(self, key: str) -> tuple[int, float]:
+        """Best of all names that reaches ``similar``. Names are compared in order of an upper bound of their score, until it is no better
+        than the best so far: edits keep only letters that both have, and of a word only letters that the other side has at all can agree."""
         tokens = frozenset(key.split())
+        compact = key.replace(" ", "")
         for own, (_, type_id) in zip(self.token_sets, self.names, strict=True):
             if own and own == tokens - {"of", "the"}:
                 return type_id, 1.0
-        vector = np.zeros(self.matrix.shape[1], dtype=np.float32)
-        mine = self._grams(key)
-        for g in mine:
-            if (c := self.grams.get(g)) is not None:
-                vector[c] = 1
-        cosine = self.matrix @ vector / (self.norms * np.sqrt(len(mine)))
-        best = (0, 0.0)
-        compact = key.replace(" ", "")
-        for row in np.argsort(-cosine, kind="stable")[:12]:
+        if within := self._within(tokens):
+            return within, 0.95
+        counts, telling = self._counts(compact), self._counts("".join(tokens - DECOR or tokens))
+        whole = np.minimum(self.counts, counts).sum(axis=1) / np.maximum(self.sizes, len(compact))
+        words = np.minimum((self.telling > 0) @ telling / max(1, telling.sum()), self.telling @ (telling > 0) / np.maximum(1, self.telling.sum(axis=1))) * 0.98
+        bound = np.maximum(whole, words)
+        best, best_row = (0, 0.0), len(self.names)
+        for row in np.argsort(-bound, kind="stable"):
+            if bound[row] < max(self.similar, best[1]) - 1e-9:
+                break
             name, type_id = self.names[row]
             score = max(_closeness(compact, name.replace(" ", "")), self._token_set(tokens, self.token_sets[row]))
-            if score > best[1] + 1e-9:
-                best = (type_id, score)
+            if score > best[1] + 1e-9 or (abs(score - best[1]) <= 1e-9 and best[1] and row < best_row):
+                best, best_row = (type_id, max(score, best[1])), row
         return best
 
     @staticmethod

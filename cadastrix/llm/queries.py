@@ -7,21 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, short_plan_texts
 from ..session import read_table as table
 from . import addresses, bpe, doctype, linkage, mixing, moderation, pii, survivors
 
 
+def _written(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """A result of many steps, written once with short plan texts, so that what reads it has a short plan."""
+    with short_plan_texts(spark):
+        return checkpoint(make())
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.found(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
+    return _written(spark, lambda: linkage.found(table(spark, d, "property_register"), table(spark, d, "extracted_metadata")))
 
 
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
-    pairs = linkage.match_records(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
-    return pairs.select("register_id", "record_id", "confidence", "cosine")
+    make = lambda: linkage.match_records(table(spark, d, "property_register"), table(spark, d, "extracted_metadata")).select("register_id", "record_id", "confidence", "cosine")
+    return _written(spark, make)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
+    with short_plan_texts(spark):
+        return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
 
 
 def p2_places(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +61,11 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.best_captures(table(spark, d, "extracted_metadata"), table(spark, d, "property_register"), table(spark, d, "capture_sources"))
+    return _written(spark, lambda: survivors.best_captures(table(spark, d, "extracted_metadata"), table(spark, d, "property_register"), table(spark, d, "capture_sources")))
+
+
+def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
+    return _written(spark, lambda: survivors.consistent_captures(table(spark, d, "extracted_metadata"), table(spark, d, "property_register"), table(spark, d, "capture_sources")))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +102,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_places, p3_found, p3_redacted, p4_found, p4_unmatched, p5_found, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_places, p3_found, p3_redacted, p4_found, p4_unmatched, p5_found, p5_consistent, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,7 +56,7 @@ def test_document_types(spark):
 
 
 def test_longest_mention_wins():
-    m = doctype.TypeMatcher([(1, "Grading Plan", []), (2, "Lot Grading Plan Sheet", [])], {})
+    m = doctype.TypeMatcher([(1, "Grading Plan", []), (2, "Lot Grading Plan Sheet", [])])
     assert m.match("lot grading plan sheet 2")[0] == 2 and m.match("the grading plan")[0] == 1
 
 
@@ -261,6 +261,43 @@ def test_survivors(spark):
     assert got == {(7, 1, 3, 2, 2), (9, 1, 0, 0, 0)}
 
 
+def test_consistent_bundles_equal_brute_force(spark):
+    """A dependency changes the choice: a less trusted lot or address that the register gives the tax id beats a more trusted other one."""
+    import datetime as dt
+    from itertools import product
+
+    r = random.Random(13)
+    wants = {"0111111111": ("5", "12"), "0122222222": ("6", "12"), "0133333333": ("7", "40"), "0999999999": None}
+    numbers = {"12": "12 North Oakfield Rd", "40": "40 North Oakfield Rd", "44": "44 North Oakfield Rd"}
+    sources = [("a", 5), ("b", 3), ("c", 1)]
+    rows, groups = [], {}
+    for g in range(60):
+        own = []
+        for _ in range(r.randrange(2, 6)):
+            i = len(rows) + 1
+            t = r.choice(list(wants))
+            row = (i, g, 1, r.choice(sources)[0], dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i), r.choice(["5", "6", "7", "9", None]), r.choice([*numbers.values(), None]), None, None, r.choice([f"{t[:2]}-{t[2:]}", None]))
+            rows.append(row)
+            own.append(row)
+        groups[g] = own
+    got = {x.packet_id: x for x in survivors.consistent_captures(spark.createDataFrame(rows, RECORDS), _register(spark, REG), spark.createDataFrame(sources, "capture_source string, trust int")).collect()}
+    trust, by_id, changed = dict(sources), {x[0]: x for x in rows}, 0
+    free = {x.packet_id: x for x in survivors.best_captures(spark.createDataFrame(rows, RECORDS), _register(spark, REG), spark.createDataFrame(sources, "capture_source string, trust int")).collect()}
+    for g, own in groups.items():
+        fields = [[None, *(x for x in own if x[k])] for k in (9, 5, 6)]
+
+        def good(t, lot, a):
+            w = wants.get(t[9].replace("-", "")) if t else None
+            return not w or ((lot is None or lot[5] == w[0]) and (a is None or a[6].split()[0] == w[1]))
+
+        value = lambda *c: sum(trust[x[3]] + 1 for x in c if x)
+        best = max(value(*c) for c in product(*fields) if good(*c))
+        mine = [by_id.get(v) for v in (got[g].tax_id_record_id, got[g].lot_record_id, got[g].address_record_id)]
+        assert good(*mine) and value(*mine) == best
+        changed += (free[g].lot_record_id, free[g].address_record_id, free[g].tax_id_record_id) != (got[g].lot_record_id, got[g].address_record_id, got[g].tax_id_record_id)
+    assert changed > 10
+
+
 def test_branch_and_bound_equals_brute_force():
     from itertools import product
 
