@@ -118,14 +118,22 @@ def _entries() -> tuple[dict[str, int], list[tuple[str, int]], dict[str, int]]:
 
 
 _EXACT, _STARTS, _PHRASES = _entries()
-_PHRASE_HEADS = {p.split()[0] for p in _PHRASES}
+#: Second words of the phrases by their first word.
+_PHRASE_HEADS: dict[str, set[str]] = {}
+for _phrase in _PHRASES:
+    _PHRASE_HEADS.setdefault(_phrase.split()[0], set()).add(_phrase.split()[1])
 CLASS = {name: 1 << k for k, name in enumerate(LEXICON)}
 #: Words looked up for tokens in which single letters are blotted out.
 _BLOTTED = sorted({w for name in ("insult", "nasty", "foul", "sexual", "intimate") for e in LEXICON[name].split() if "_" not in e and len(w := e.rstrip("*")) > 3})
 SENSES = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "low", "sexual", "intimate", "body"))
 ANIMALS = {"bitch", "bitches", "cow", "cows", "pig", "pigs", "swine", "worm", "worms", "leech", "leeches", "vermin", "parasite", "parasites", "ass", "rat", "rats", "dogs", "animals", "weasel", "weasels"}
 _ARTICLES = {"a", "an", "such", "what", "which", "only", "that", "the", "of", "un", "une", "ein", "una", "espece", "pedazo"}
-STRONG = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "group", "low", "sexual", "intimate", "body", "us", "stalk"))
+STRONG = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "begone", "group", "low", "sexual", "intimate", "body", "us", "stalk"))
+
+
+@lru_cache(maxsize=4096)
+def _names(mask: int) -> tuple[str, ...]:
+    return tuple(name for name, bit in CLASS.items() if mask & bit)
 
 
 @lru_cache(maxsize=WORDS_KEPT)
@@ -205,20 +213,24 @@ def votes(words: str) -> int:
         return any(-before <= place[y] - place[x] <= after and x != y for x in a for y in b)
 
     kinds = [word_classes(x) for x in w]
-    if not any(k & STRONG for k in kinds) and not any(x in _PHRASE_HEADS for x in w):
-        return 1 << (len(VOTERS) - 1)
     for i, x in enumerate(w):
-        if x in _PHRASE_HEADS:
+        if (after := _PHRASE_HEADS.get(x)) and i + 1 < len(w) and w[i + 1] in after:
             for n in (2, 3, 4):
                 if found := _PHRASES.get(" ".join(w[i : i + n])):
                     kinds[i] |= found
+    if not any(k & STRONG for k in kinds):
+        return 1 << (len(VOTERS) - 1)
     # a strong word right before a thing tells of the thing, and an animal among others of the farm of the animal, not of a person
     of_thing = [i for i in range(len(w) - 1) if kinds[i] & SENSES and kinds[i + 1] & CLASS["thing"]]
-    beasts = {x for x, k in zip(w, kinds, strict=True) if k & CLASS["farm"]}
-    of_thing += [i for i, x in enumerate(w) if x in ANIMALS and kinds[i] & SENSES and beasts - {x}]
+    if any(x in ANIMALS for x in w):
+        beasts = {x for x, k in zip(w, kinds, strict=True) if k & CLASS["farm"]}
+        of_thing += [i for i, x in enumerate(w) if x in ANIMALS and kinds[i] & SENSES and beasts - {x}]
     for i in of_thing:
         kinds[i] &= ~SENSES
-    at = {name: [i for i, k in enumerate(kinds) if k & bit] for name, bit in CLASS.items()}
+    at: dict[str, list[int]] = {name: [] for name in CLASS}
+    for i, k in enumerate(kinds):
+        for name in _names(k):
+            at[name].append(i)
     you, me, person = at["you"], at["me"], at["person"]
     close = [*you, *me, *(i for i in person if w[i] in ("he", "she", "him", "her", "his"))]
     insult, nasty, foul, group = (at[k] for k in ("insult", "nasty", "foul", "group"))
