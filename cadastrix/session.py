@@ -59,3 +59,27 @@ def spread(df: DataFrame, split_mb: int = 32) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(parts) if size < parts * split_mb << 20 else df
+
+
+@contextmanager
+def no_own_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins are merged, not broadcast, unless a join asks for it: a broadcast table is built in the driver, and each takes pages of its
+    heap however small it is. For chains of many joins between tables that grow with the data."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def merged_checkpoint(df: DataFrame) -> DataFrame:
+    """``checkpoint`` of a table whose joins are merged."""
+    with no_own_broadcasts(df.sparkSession):
+        return checkpoint(df)
