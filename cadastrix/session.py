@@ -83,3 +83,18 @@ def merged_checkpoint(df: DataFrame) -> DataFrame:
     """``checkpoint`` of a table whose joins are merged."""
     with no_own_broadcasts(df.sparkSession):
         return checkpoint(df)
+
+
+def brief_checkpoint(df: DataFrame) -> DataFrame:
+    """``merged_checkpoint`` of a step over distinct names or forms, of which there are few beside the rows: generating and compiling code
+    for such a step costs the driver more than the step takes, so it runs without whole-stage code."""
+    spark, key = df.sparkSession, "spark.sql.codegen.wholeStage"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return merged_checkpoint(df)
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
