@@ -169,7 +169,7 @@ class Tagger:
                 tag = TAGS[path[t]] if t < len(path) else "O"
                 if begin >= 0 and tag[0] != "I":
                     kind = TAGS[path[begin]][2:]
-                    spans += [(*b, kind) for b in checked(text, begin, t, kind) if not spans or b[0] >= spans[-1][1]]
+                    spans += [(*b, settled(text[b[0] : b[1]], kind)) for b in checked(text, begin, t, kind) if not spans or b[0] >= spans[-1][1]]
                     begin = -1
                 if tag[0] == "B":
                     begin = t
@@ -179,8 +179,14 @@ class Tagger:
 
 _DIGITISH = re.compile(r"[0-9OoIlSsBbZGgq|]")
 _CUE = re.compile(r"(?i)^(?:ssn|ss#|s\.s\.|soc(?:ial)?\.?(?:\s*sec(?:urity)?\.?)?|passport|pass\.|alien|reg\.|resident|id|card|oper\.|lic\.|driver'?s?|licen[cs]e|d\.?l\.?|no\.?|nr\.?|number|#|:)[\s:#.]+")
-_TITLE = re.compile(r"(?i)^(?:mrs|mr|ms|miss|dr|drs|prof|hon|owner|tenant|attn)\.?:?\s+")
-_NOT_NAME = re.compile(r"(?i)\b(?:inc|llc|survey(?:s|ing)?|engineering|partners|geomatics|estates|manor|woods|shores|court|road|street|lane|avenue|boulevard|circle|terrace|trail|plat|plan|lot|tax|map|parcel|county|department|search|assessments|exhibit|layout|permit|deed|description|location|notes|check|profile|sheet|sketch|log|report|certificate|drawing|control|area|critical|boring|premises|address|owner|tenant|property|account)\b")
+_TITLE = re.compile(r"(?i)^(?:mrs|mr|ms|miss|dr|drs|prof|hon|owner|tenant|attn|attention|seller|buyer|grantor|grantee|witness|heir of|applicant|client|contact|dear|spoke to|c/o|cc)\.?:?\s+")
+_NOT_NAME = re.compile(r"(?i)\b(?:inc|llc|surveys|surveying|engineering|partners|geomatics|estates|department|assessments|exhibit|layout|permit|deed|description|notes|profile|sketch|certificate|drawing|parcel|county|tax|plat|premises|address|property|her|his|their|our|your|my|the|this|see|ask|phone|call|cell|fax|mail|after|before|with|and|or)\b")
+#: Words in lower case that stand inside names.
+_PARTICLES = {"de", "da", "di", "del", "della", "van", "von", "der", "den", "la", "le", "dos", "bin", "al", "el", "y", "jr", "sr"}
+_PHONE = re.compile(r"[0-9OoIlSsB]{3}[-. ][0-9OoIlSsB]{3}[-. ][0-9OoIlSsB]{4}")
+_SOCIAL = re.compile(r"[0-9OoIlSsB]{3}[- ][0-9OoIlSsB]{2}[- ][0-9OoIlSsB]{4}")
+#: A name that ends like a street counts only after a person's cue, or with the surname first.
+_PERSON_CUE = re.compile(r"(?i)(?:owner|tenant|mrs?|ms|dr|prof|hon|seller|buyer|grantor|grantee|witness|heir of|by|for|attn|attention|c/o|cc|dear|sincerely|client|contact|applicant|name|chief|to|with|call|ask)[\s.:,]*$")
 #: Cue words of numbers that are no person's: before such a number a span is dropped.
 _OTHER_NUMBER = re.compile(r"(?i)(?:s/n|permit|l\.s\.\s+lic\.\s+no\.|ledger|job\s+no\.|ticket|panel|zip|\bmd|parcel|map|tax\s+id:?|account\s+number|liber|folio|instrument|page|elev\.|area|epoch|\bpt)\s*#?:?\s*$")
 _FULL_TYPES = set(TYPES)
@@ -197,6 +203,46 @@ def _whole_words(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _name_bounds(text: str, start: int, end: int) -> tuple[int, int]:
+    """Bounds of a name: of words parted by plain ones in lower case the longest run counts, and an initial does not end one."""
+    words = [(m.start() + start, m.end() + start, m[0]) for m in re.finditer(r"\S+", text[start:end])]
+    if not any(w[:1].isupper() for *_, w in words):
+        return start, end
+    plain = lambda w: w[:1].islower() and w.strip(".,;").lower() not in _PARTICLES
+    runs: list[list[tuple[int, int, str]]] = [[]]
+    for w in words:
+        if plain(w[2]) or not any(c.isalpha() for c in w[2]):
+            runs.append([])
+        else:
+            runs[-1].append(w)
+    words = max(reversed(runs), key=len)
+    start, end = words[0][0], words[-1][1]
+    while end > start and text[end - 1] in ",;:":
+        end -= 1
+    if re.fullmatch(r"[A-Z]\.?", words[-1][2]) and "," not in text[start:end] and (m := re.match(r"\.?\s{1,2}([A-Z][\w'-]{2,})", text[end:])):
+        end += m.end()
+    return start, end
+
+
+def settled(piece: str, kind: str) -> str:
+    """The kind that the grouping of digits tells: three, three and four are a phone, three, two and four a social security number."""
+    if kind in ("phone", "id_number"):
+        return "phone" if _PHONE.fullmatch(piece) else "id_number" if _SOCIAL.fullmatch(piece) else kind
+    return kind
+
+
+_AFTER_TYPE = re.compile(r"(?i)[,\s]*(?:#\s*\w+|\b(?:ap[t+]|uni[t+]|ste|sui[t+]e|bldg)\b\.?\s*#?\s*\w+)")
+
+
+def _address_end(piece: str) -> int:
+    """End of an address: a line that begins after its street type belongs to it only as a unit."""
+    for m in re.finditer(r"\n", piece):
+        words = re.findall(r"[\w@+$|!]+", piece[: m.start()].upper().translate(TO_LETTER))
+        if len(words) > 2 and any(w in TYPE_OF for w in words[2:]) and not _AFTER_TYPE.match(piece, m.start()):
+            return m.start()
+    return len(piece)
+
+
 def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """Exact check of one span: its trimmed bounds, or None where it cannot be an item of its kind."""
     edge = " \t\r\n,;:<>\"'/" + chr(160)
@@ -213,6 +259,9 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     if kind == "person_name":
         while (m := _TITLE.match(text[start:end])) is not None:
             start += m.end()
+        start, end = _name_bounds(text, start, end)
+    if kind == "phone" and (cut := text.find("\n", start, end)) >= 0 and len(_DIGITISH.findall(text[start:cut])) >= 10:
+        end = cut
     while end > start and text[end - 1] == ".":
         end -= 1
     piece = text[start:end]
@@ -235,9 +284,13 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         if dot and word in TYPE_OF and word not in _FULL_TYPES:
             end += 1
         typed = any((w := re.sub(r"[^\w@+$|!]", "", x).upper().translate(TO_LETTER)) in TYPE_OF or any(f.startswith(w[:4]) for f in _FULL_TYPES if len(w) >= 3 and abs(len(f) - len(w)) <= 2) for x in piece.split()[2:])
+        end = start + _address_end(text[start:end])
+        piece = text[start:end]
         if not (typed and re.match(r"[0-9OIlSBZGo|]{1,6}\b", piece) and any(c.isdigit() for c in piece.split()[0])):
             return None
         return start, end
+    if kind == "person_name" and last.upper() in TYPE_OF and len(last) > 2 and "," not in piece and not _PERSON_CUE.search(text[max(0, start - 20) : start]):
+        return None
     if kind == "person_name" and dot and (last.lower() in ("sr", "jr") or len(last) == 1):
         end += 1
     good = {

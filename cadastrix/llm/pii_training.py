@@ -16,36 +16,113 @@ import numpy as np
 
 from .pii import CLASSES, KINDS, LETTERS, TAGS, char_class, letter_id
 
-# Material of the generator; given names, beginnings and ends of surnames and street names.
-GIVEN = "Gideon Anneke Odette Zachary Kester Dalia Renée Nadia Winston Vera Nikhil Pascal Bjorn Zoë Quentin Katya Alden Mireille Viola Hattie Priya Farida Ottilie Orson Lamar Rosalind José Amara Marcus Bettina Ivo Yvette Hiroshi Jasper Ulric Ingrid Jocelyn Cyrus Raina Kwame Soren Thora Fabian Celeste Imani Silas Edmund Wendell Tomas Leila Xiomara Greta Tabitha Dmitri Umberto Milos Eloise Petra Lorna Yuki Anna Peter Maria John Susan Carlos Ahmed Wei Olga Lucas Hannah Robert Linda Noor Ivan Chloe Derek Maya".split()
-SUR_A = "Fennen Jost Corv Tov Yarr Pell Quill Thax Zel Mard Brind Ulm Lind Ost Ist Rav Bex Dask Gorm Harr Karr Sorr Norr Vel Wex Mill Hal Drem Stell Ash Coll Tann Berg Holl".split()
-SUR_B = ["a", "e", "i", "o", "ow", "er", "en", "el", "ar"]
-SUR_C = "nell nova berg lard ssen reda tini kin mann quist vander thwaite lescu dottir rovic vaux son ski ley ers man sen stein well ham field".split()
-DIRECTION = ["North", "Old", "Upper", "Little", "Saint", "Mount", "West", "N", "N.", "W", "W.", "Upr", "St", "St.", "Mt", "Mt.", "Ltl", "Lit.", "East", "South", "No."]
-ROAD_A = "Grill Vor Rill Whill Pill Dren Wor Mor Ren Flor Dust Nar Clor Then Kust Trar Hor Ben Gror Brust Pen Trill Far Clen Lill Just Mill Lor Vust Wen Bor Shill Gill Tust Shust Krim Dar Fust Gren Quar".split()
-ROAD_B = ["er", "o", "en", "an", "el", "ing", "u", "a", "elling", "anting"]
-ROAD_C = "wick cote gate ford combe mere ley field ham by worth stead croft thorpe hurst shaw bury dale moor brook borough ton".split()
+# Material of the generator; common given names and surnames of several languages, and pieces of invented ones.
+GIVEN = """James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony Betty Mark Sandra Paul Ashley Steven Emily
+    Andrew Donna Joshua Carol Kevin Amanda Brian Melissa George Deborah Edward Laura Ronald Cynthia Jason Rebecca Jeffrey Sharon Ryan Kathleen Gary Amy Nicholas Angela Eric Shirley Jonathan Anna Stephen Ruth Larry Brenda Justin
+    Pamela Scott Nicole Brandon Katherine Benjamin Samantha Samuel Christine Gregory Rachel Frank Janet Raymond Catherine Patrick Maria Jack Heather Dennis Diane Jerry Olivia Tyler Julie Aaron Joyce Henry Victoria Adam Kelly Douglas
+    Carlos Luis Miguel Rosa Carmen Sofía Andrés Lucía Pedro Elena Hans Ursula Jürgen Ingeborg Klaus Sabine Friedrich Pierre François Hélène Chloé Antoine Benoît Giulia Marco Paolo Francesca Ahmed Fatima Omar Layla Hassan Aisha
+    Wei Ming Hui Yan Kenji Sakura Haruto Min-jun Rajesh Anjali Vikram Sunita Olga Dmitry Natasha Sergei Katarzyna Piotr Lars Astrid Sven Nils Ebba Kofi Ama Chidi Ngozi Ravi Leah Ezra Ida Otis Cora Hugo Vera Max Ada Ivan Zoë""".split()
+SURNAMES = """Smith Johnson Brown Jones Garcia Miller Davis Martinez Lopez Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Torres Nguyen Hill Flores Green Adams
+    Nelson Baker Hall Rivera Campbell Mitchell Carter Roberts Woods Lane Street Court Marsh Brooks Fields Banks Rivers Manor Parks Bridges Waters Forest Church Wall Stone Poole Schmidt Weber Fischer Becker Dubois Lefèvre Moreau Rossi Conti
+    Kowalski Novak Ivanova Petrov Tanaka Suzuki Kim Park Chen Wang Singh Patel Sharma Okafor Mensah Haddad Nasser Olsen Lindqvist Nyström O'Brien McDonald MacLeod DeWitt""".split()
+ONSET = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kl kr l m n p ph pl pr qu r rh s sc sh sk sl sm sn sp st str sw t th tr tw v w wh wr x y z".split()
+VOWEL = "a e i o u ai au ea ee ei ie oa oo ou ow ay ey".split()
+CODA = "b ck d ff g l ll lm ln m mp n nd ng nk nn nt p r rd rk rl rm rn rs rt s sk ss st t th tt v x z".split()
+SUR_END = "son sen ton man mann berg stein witz ski sky ova ovich ez ini elli etti eau ard ault ström qvist dottir wala oğlu ley well ford field ham wood worth ing er ers kin ka ko lund gaard dahl vik bach heim hoff".split()
+ROAD_END = "wood field ford ham ton ley dale brook bury land ridge view hurst stead croft shire gate bridge mere port haven cliff combe worth wick by thorpe den hill shaw lea fold moor".split()
+DIRECTION = ["North", "Old", "Upper", "Little", "Saint", "Mount", "West", "N", "N.", "W", "W.", "Upr", "St", "St.", "Mt", "Mt.", "Ltl", "Lit.", "East", "South", "E", "S.", "Lower", "New", "Great"]
 ROAD_TYPE = "Court Ct Ct. Place Pl Pl. Road Rd Rd. Lane Ln Ln. Trail Tr Tr. Trl Drive Dr Dr. Drv Street St St. Str Avenue Ave Ave. Av Terrace Ter Ter. Terr Terr. Circle Cir Cir. Circ Boulevard Blvd Blvd. Way Wy".split()
 FULL_TYPE = ["Court", "Place", "Road", "Lane", "Trail", "Drive", "Street", "Avenue", "Terrace", "Circle", "Boulevard", "Way"]
-TOWNS = "Pinecote,Tessmere,Velden Mills,Ashen Point,Port Osten,Lower Farrow,Stillwater Run,Three Oars,Quill Harbor,Harrow Landing,Cobbler Neck,Dunmarrow,Brackwater,Gull Crossing,Mirefield,Saltreed".split(",")
-FIRMS = ["Meridian Stake and Level", "Copperline Surveys", "Tidewater Chain Co.", "Backsight Partners, Inc.", "Ferrule & Plumb Land Surveying", "Oxbow Geomatics LLC", "Halden Brothers Engineering, P.A."]
-HOSTS = ["halden.invalid", "copperline.test", "tideline.test", "home.example.net", "backsight.example.com", "mail.example.org", "oxbow.example", "ferrule-plumb.example", "ferrule-plumb.test", "post.example"]
-TITLES = ["SITE PLAN", "House Location", "FIELD NOTES", "WALL CHECK", "Plat/Replat", "UTILITY PLAN", "Septic Layout", "CONDOMINIUM PLAT", "As-Built Drawing", "Well Location", "STORMWATER MANAGEMENT PLAN", "Control Point Sketch"]
-# Lines of survey notes; <n> name, <p> phone, <m> mail, <i> identity number, <a> street address; # a digit, {r} a road, {t} a town, {f} a firm.
-WITH = """TENANT <n>|OWNER: <n>|Prepared for <n>|Per phone call w/ <n> the corner by the shed was disturbed.|Drawn by <n>   Checked by <n>|c/o <n>~<a>|Owner Name: <n>|Signature of owner  <n>   date|grantor <n>, grantee <n>, recorded by clerk|Heir of <n>, see will; next of kin <n>|Party chief <n>. Rod <n>.|Seller <n> and buyer <n>|Left card at <a>, nobody home|neighbor at <a> says the old stone was moved in the eighties|Owner's mailing address <a>, {t} MD 2####|Mrs. <n> objects to the stake near her roses; write to <m>|Questions: <n> <<m>>|Premises Address: <a>~{t}|Send invoice to <n>, <a>, {t}|TEL <p>|FAX <p>|Tel. <p>  Fax <p>|TENANT <n>~TEL <p>|cc <m>; <m>|witness <n> of <a>|Deliver two prints to <a> attention <n>|Attn: <n>, ph <p>|ring <p> after five, ask for <n>|Well driller <n>, reached on <p>|gate code from <n> - text <p>|Mr. <n> met crew at the gate, gave cell <p>.|Spoke to <n> (<p>) re: fence line|contact <m> or call <p> before digging|For access call <n> at <p> or mail <m>|E-mail <m>|<i> shown at closing|identity checked (<i>)|Notary copy: <n>, <i>|Notary copy: <n> / <i>|NOTARY COPY: <n>, <i>|cc <m>; <m>|SITE ADDRESS <a>, {t}|SITE ADDRESS <a>|Address - <a>, {t}|Address - <a>|Property address: <a>|Property address: <a>, {t}|{f}~<a>|<a>|Applicant <n>|Surveyor of record: <n>|cc: <n>|<n>|Drs. <n> and <n> agree|Ms. <n> called from <p>""".split("|")
-WITHOUT = """LOT ##|Lot #|Lot: ##|Lot ###R|TAX MAP ### PARCEL ####|TAX ID: ##-########|TAX ID: ## - ########|SCALE 1" = ##'|MISS UTILITY TICKET ########|HI = #.##  BS #.##  FS #.##|BENCHMARK ELEV. ###.##|Job No. ##-####|Overhead wires cross lot ##.|Prof. L.S. Lic. No. #####|Setbacks: front ##', side ##', rear ##'|Recorded among the land records in plat book #, page ###.|Permit ###-##-####|FLOOD ZONE X, panel ####C####D|Septic reserve area #### sq ft|Turn left at the silo, # miles past {r}.|Zip 2####-####|### feet east of {r}|Along the north side of {r}|Inst. S/N ########|Acct. ledger ##-####-##|Liber #### Folio ###|Pt ### chk #.## ok|see sheet # of #|Contours at two foot interval.|Iron pipe found, held.|Bearings refer to plat north.|No title report was furnished.|N ##°##'##" E ###.##'|Rebar and cap set at all corners unless noted.|Foundation wall checked against approved setback.|Area ###.## sq. ft. or #.## acres|House is ###.## ft. from front line.|Datum NAVD, epoch ####.#|Rev. # dated #/##/####|{f}|Real Property Data Search~Department of Assessments and Taxation|Account Identifier:  District - ## Account Number - ########|Account Identifier Account Number ##-########|{d}|{d} Estates, Sec. 3A|off {r} near bridge|{r}, {t}|{t} MD 2####|Instrument ####-######""".split("|")
+FIRM_END = ["Surveys", "Surveying", "Survey Co.", "Land Surveying", "Engineering, P.A.", "Engineering LLC", "Engineers", "Associates", "Associates, Inc.", "Partners, Inc.", "Group", "Geomatics LLC", "Consultants", "and Sons", "& Co.", "Brothers", "Mapping", "Builders Inc.", "Title Company", "Bank", "and Level", "Chain Co."]
+HOST_END = ["com", "org", "net", "example", "test", "invalid", "example.com", "example.org", "example.net", "co.uk", "gov", "edu", "info"]
+DOMAIN = "surveys maps office post mail tide copper oak land title home county plumb harbor river stake field north data north-star web desk clerk print studio works".split()
+NOUN = """wall fence corner pipe stone hedge drain garage culvert pole ditch porch shed marker bearing curb line iron pin rebar cap tree stump bench creek pond path gate deck slope roof chimney grade basin marsh field swale meter valve hydrant contour sheet plan page file box drawer letter invoice copy print record folder office counter board hearing request reply
+    flower shrub lawn garden barn horse dog cat door window kitchen cellar attic garage tractor truck trailer boat dock beach shore island bank river hill valley ridge rock boulder sand clay soil water rain snow wind frost light power wire cable tank pump
+    hydrant sewer septic permit deed plat title mortgage loan tax fee price cost bill receipt meeting agenda minutes notice order rule law code zone zoning variance buffer setback easement access lane line area volume weight height depth length width distance
+    angle degree azimuth datum station level tripod prism tape chain rod staff camera photo map chart scale legend symbol border margin title block stamp seal ink paper pencil marker paint ribbon flag lath hub nail spike monument disk witness tie
+    school church store market bridge tunnel station airport harbor farm ranch forest meadow orchard vineyard cemetery tower mill mine quarry well spring fountain statue bench table chair lamp clock bell key lock chainsaw shovel hammer bucket rope
+    morning afternoon evening night week month year spring summer autumn winter holiday monday tuesday wednesday thursday friday""""".split()
+VERB = """found set moved checked marked shown missing buried broken cleared measured staked recorded replaced removed painted flagged leaning disturbed settled dug tied closed opened printed returned signed delayed
+    approved denied pending required requested noted observed verified confirmed corrected revised updated attached enclosed included excluded covered exposed blocked flooded frozen cut filled graded paved planted trimmed fenced locked rented sold owned
+    built rebuilt repaired lifted lowered aligned offset rotated scanned copied filed lost found""""".split()
+ADJ = """old new north south east west rear front side wooden concrete bent rusty low high wet dry narrow wide shared common upper lower second third first left right missing
+    overhead underground temporary permanent public private legal final rough smooth steep flat deep shallow heavy light dark bright clean dirty empty full broken loose tight solid hollow iron brick stone wire plastic copper brass steel clear cloudy cold hot
+    real total average maximum minimum standard special general local rural urban annual monthly daily""""".split()
+PLACE = "beside behind near along under above past opposite across from inside outside at by".split()
+# Cues of items and lines around them; <n> name, <p> phone, <m> mail, <i> identity number, <a> street address; # a digit, {r} a road, {t} a town, {f} a firm, {s} other words.
+CUE = {
+    "n": ["Owner", "OWNER:", "Owner name:", "Tenant", "TENANT", "Applicant:", "Prepared for", "Prepared by", "Drawn by", "Checked by", "Attn:", "ATTN", "c/o", "cc:", "Seller", "Buyer", "Grantor", "Grantee", "Witness", "Heir of", "Party chief", "Signed,", "Signature", "Contact:", "Contact person", "Client", "Surveyor", "Crew chief", "Notes by", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Drs.", "Hon.", "Spoke to", "Spoke with", "Ask for", "Call", "Met", "Dear", "per", "from", "To:", "From:", "Attention", "Executor", "Trustee", "Agent for owner:", "next of kin", "Sincerely,", "Driller", "Rod:", "Notary", "Clerk"],
+    "p": ["Tel", "TEL", "Tel.", "TEL:", "Phone", "Phone:", "Ph.", "ph", "Fax", "FAX", "Cell", "cell", "Mobile:", "call", "Call", "ring", "text", "dial", "Office", "Home", "reach at", "Voicemail", "Hotline", "T:", "F:", ""],
+    "m": ["E-mail", "Email:", "email", "Mail", "write to", "send to", "mail", "cc", "e-mail:", "reply to", "contact", "Questions:", ""],
+    "a": ["Address", "ADDRESS:", "Address -", "Site address", "SITE ADDRESS", "Property address:", "Premises", "Premises address:", "Location:", "Mailing address", "lives at", "resides at", "at", "house at", "Deliver to", "Send to", "Office:", "re", "Re:", "of", "neighbor at", "tenant at", "Job at", "Meet at", "mail to", ""],
+}
+WITH = """<n>|<a>|<n> {s}|{s} <n> {s}|{s} <n>, {s}|{s} <n> <C> <p>|{s} <C> <n> - {s}|{s} <C> <n> <C> <p> {s}|<C> <n>   {s}|{w} <n> {s}|{w} <C> <n> {w}|<C> <a>~LOT #|<C> <a>~Lot ##|<C> <a>~Parcel ###|<C> <a>~{w}|<C> <n>~{w}|<C> <n>  {w}|{w}: <n>|{w} <C> <n>, {w}|<C> <n>|<C> <n>~<C> <p>|<C> <n>, <C> <p>|<C> <n>; <C> <n>|<C> <n>   <C> <n>|<C> <n> and <n>|<C> <n> / <n>|<C> <n> (<p>)|<C> <n> <<m>>|<C> <n>, <a>|<C> <n>~<a>|<C> <n>~<a>~{t} MD 2####|<C> <a>|<C> <a>, {t}|<C> <a>~{t}|<C> <a>, {t}, MD 2####|<C> <p>|<C> <p>   <C> <p>|<C> <m>|<C> <m>; <m>|<C> <m> or <C> <p>|<C> <i>|<i>|<C> <n>, <i>|<C> <n> / <i>|<i> {s}|{s} (<i>)|{s}: <i>|<C> <n> {s}|{s} <C> <n>|{s}, <C> <n>.|{s} <C> <a>, {s}|<C> <a> {s}|{s} <C> <p> {s}|{s} <C> <m>|<C> <n> {s}, <C> <p>|<C> <n> {s} <C> <m>|<C> <n> of <a>|{f}~<a>|{f}~<C> <p>|{f}, <a>|{f}~<a>, {t}|<C> <n> for {f}|<C> <n> on {r}|{s} - <C> <n> {s}|<C> <p> {s}, <C> <n>""".split("|")
+NUMBERED = """Lot ##|LOT #|Lot: ###R|lots # and ##|Tax map ### parcel ####|TAX MAP: ##|Parcel ####|P. ####|Tax ID: ##-########|TAX ID ## - ########|District ## Account Number ########|District - ## Account Number - ########|Acct ##-########|Account Identifier: District - ## Account Number - ########|Scale 1" = ##'|SCALE # INCH = ## FEET|Ticket ########|Job ##-####|Job No. ##-####|Permit ###-##-####|Permit No. ######|Lic. No. #####|Prof. Lic. #####|Zip 2####-####|{t} MD 2####|{t}, MD 2####-####|Liber #### folio ###|Deed book #### page ###|Plat book ## page ##|Instrument ####-######|Inst. no. ########|Serial ########|S/N ########|Panel ####C####D|Elev. ###.##|HI ###.## BS #.## FS #.##|pt ### ok #.##|N ##°##'##" E ###.##'|N ## degrees ## minutes E ###.## feet|Area ###.## sq. ft.|#.## acres +/-|epoch ####.#|Rev # ##/##/####|Date: #/##/####|Sheet # of #|Ledger ##-####-##|Invoice ######|Case ##-####|Station ##+##.##|radius ###.## ft, chord ###.##|at #:## pm|$####.##|Setbacks ##/##/##|{r}, {t}|off {r}|along {r}|## feet east of {r}|Section # {d}|{d}|{d} Estates|{d}, Sec. #|{f}|{f}, {t}|north side of {r}|corner of {r} and {r}|{t}|{t} County|{w}|{w}|{w}|{w}, {w}|{w}: {w}|{w} - {w}|{w} ##|{w} #.##|{w}~{w}|Real estate search|Department of Records|Board of Appeals""".split("|")
 
 
 def _digits(r: random.Random, shape: str) -> str:
     return "".join(str(r.randrange(10)) if c == "#" else c for c in shape)
 
 
+def _syllables(r: random.Random, least: int = 1, most: int = 2) -> str:
+    return "".join(r.choice(ONSET) + r.choice(VOWEL) + (r.choice(CODA) if r.random() < 0.5 else "") for _ in range(r.randint(least, most)))
+
+
 def _road(r: random.Random, full: bool = False) -> str:
-    name = r.choice(ROAD_A) + r.choice(ROAD_B) * (r.random() < 0.7) + r.choice(ROAD_C)
-    head = f"{r.choice(DIRECTION[:7] if full else DIRECTION)} " if r.random() < 0.6 else ""
+    x = r.random()
+    name = _syllables(r).capitalize() + r.choice(ROAD_END) if x < 0.7 else _syllables(r, 2, 3).capitalize() if x < 0.85 else r.choice(SURNAMES)
+    head = f"{r.choice(DIRECTION[:7] if full else DIRECTION)} " if r.random() < 0.5 else ""
     return f"{head}{name} {r.choice(FULL_TYPE if full else ROAD_TYPE)}"
 
 
+def _town(r: random.Random) -> str:
+    one = _syllables(r).capitalize() + r.choice(ROAD_END)
+    return r.choice([one, one, f"{one} {r.choice(['Mills', 'Point', 'Harbor', 'Landing', 'Neck', 'Run', 'Crossing', 'Park', 'Heights'])}", f"{r.choice(['Port', 'Lower', 'Upper', 'Fort', 'New'])} {one}", f"{r.choice(ADJ).capitalize()} {r.choice(NOUN).capitalize()}"])
+
+
+def _firm(r: random.Random) -> str:
+    word = lambda: r.choice([r.choice(NOUN).capitalize(), _syllables(r).capitalize(), r.choice(SURNAMES)])
+    return f"{r.choice([word(), f'{word()} & {word()}', f'{word()} {word()}', f'{word()} and {word()}'])} {r.choice(FIRM_END)}"
+
+
+def _words(r: random.Random) -> str:
+    n, v, a, p = (lambda x: lambda: r.choice(x))(NOUN), (lambda x: lambda: r.choice(x))(VERB), (lambda x: lambda: r.choice(x))(ADJ), (lambda x: lambda: r.choice(x))(PLACE)
+    s = r.choice([
+        lambda: f"the {a()} {n()} {v()} {p()} the {n()}", lambda: f"{n()} and {n()} {v()}", lambda: f"{a()} {n()}, {v()}", lambda: f"{n()} {v()} {p()} {a()} {n()}", lambda: f"no {n()} {v()}", lambda: f"see {n()} {r.randrange(1, 20)}",
+        lambda: f"about {n()} and the {a()} {n()}", lambda: f"{v()} the {n()} {p()} the {n()}", lambda: f"before {n()} is {v()}", lambda: f"{n()} {r.randrange(1, 400)}.{r.randrange(10)} ft {p()} {n()}", lambda: f"says the {n()} was {v()} in {r.randrange(1900, 2026)}",
+    ])()
+    return s[:1].upper() + s[1:] + r.choice(["", "."]) if r.random() < 0.6 else s
+
+
+def _phrase(r: random.Random) -> str:
+    """Two or three plain words, in any case: headings, remarks and names of things that are no persons."""
+    s = r.choice([
+        lambda: f"{r.choice(ADJ)} {r.choice(NOUN)}", lambda: f"{r.choice(NOUN)} {r.choice(NOUN)}", lambda: f"{r.choice(['her', 'his', 'their', 'my', 'our', 'your', 'a', 'the', 'this', 'no', 'each'])} {r.choice(NOUN)}{r.choice(['', 's', 's', 'es'])}",
+        lambda: f"{r.choice(NOUN)} {r.choice(VERB)}", lambda: f"{r.choice(ADJ)} {r.choice(NOUN)} {r.choice(NOUN)}", lambda: f"{r.choice(VERB)} {r.choice(NOUN)}", lambda: f"{r.choice(NOUN)} {r.choice('ABCXYZ')}", lambda: f"{r.choice(NOUN)}, {r.choice(VERB)}", lambda: f"after {r.choice(['one', 'two', 'three', 'four', 'five', 'six', 'noon'])}, {r.choice(VERB)}",
+        lambda: f"{r.choice(NOUN)} {_syllables(r, 1, 1).upper()}", lambda: f"{_syllables(r).capitalize()} {r.choice(NOUN)}",
+    ])()
+    return r.choice([s, s, s.upper(), s.upper(), s.capitalize(), s.capitalize(), s.capitalize(), s.title()])
+
+
+def _title(r: random.Random) -> str:
+    s = f"{r.choice(ADJ + NOUN)} {r.choice(NOUN)} {r.choice(['plan', 'plat', 'survey', 'permit', 'notes', 'sketch', 'sheet', 'layout', 'check', 'report', 'drawing', 'exhibit', 'location', 'profile', 'log'])}"
+    return r.choice([s.upper(), s.title(), s.capitalize()])
+
+
+def _case(line: str, r: random.Random) -> str:
+    """A line with its words filled in and a cue of the next item before each item."""
+    out = ""
+    while "<C>" in line:
+        before, _, line = line.partition("<C>")
+        item = line.lstrip()[1:2]
+        out += before + r.choice(CUE.get(item, [""]))
+    line = out + line
+    for mark, make in (("{r}", lambda: _road(r, r.random() < 0.6)), ("{t}", lambda: _town(r)), ("{f}", lambda: _firm(r)), ("{d}", lambda: _title(r)), ("{w}", lambda: _phrase(r)), ("{s}", lambda: _words(r) if r.random() < 0.7 else _phrase(r))):
+        while mark in line:
+            line = line.replace(mark, make(), 1)
+    return line.strip(" ,")
+
+
 def _typo(r: random.Random, s: str) -> str:
     at = r.randrange(1, max(2, len(s) - 1))
     kind = r.randrange(4)
@@ -59,15 +136,20 @@ def _typo(r: random.Random, s: str) -> str:
 
 
 def _surname(r: random.Random) -> str:
-    s = r.choice(SUR_A) + r.choice(SUR_B) + r.choice(SUR_C)
+    x = r.random()
+    s = r.choice(SURNAMES) if x < 0.2 else _syllables(r, 1, 2).capitalize() + r.choice(["", "", "e", "o", "er", "en", "ow", "a"]) + r.choice(SUR_END) if x < 0.85 else _syllables(r, 2, 3).capitalize()
     return _typo(r, s).replace(" ", "e") if r.random() < 0.08 else s
 
 
+def _given(r: random.Random) -> str:
+    return r.choice(GIVEN) if r.random() < 0.65 else _syllables(r, 1, 2).capitalize() + r.choice(["", "a", "e", "o", "ie", "in", "us"])
+
+
 def _name(r: random.Random) -> str:
     sur = _surname(r)
     if r.random() < 0.08:
         sur += "-" + _surname(r)
-    given = r.choice(GIVEN) if r.random() < 0.85 else f"{r.choice('ABCDEFGHIJKLMNOPRSTVWZ')}."
+    given = _given(r) if r.random() < 0.85 else f"{r.choice('ABCDEFGHIJKLMNOPRSTVWZ')}."
     middle = f" {r.choice('ABCDEFGHIJKLMNOPRSTW')}." if r.random() < 0.2 and len(given) > 2 else ""
     suffix = r.choice([" Jr.", " Sr.", " III", " II", " IV", ", Jr."]) if r.random() < 0.07 else ""
     if r.random() < 0.17:
@@ -89,9 +171,11 @@ def _phone(r: random.Random) -> str:
 
 
 def _mail(r: random.Random) -> str:
-    given, sur = r.choice(GIVEN).lower().replace("é", "e").replace("ë", "e"), _surname(r).lower()
+    plain = lambda x: "".join(c for c in x.lower() if c.isascii() and c.isalpha()) or "x"
+    given, sur = plain(_given(r)), plain(_surname(r))
     local = r.choice([f"{given}.{sur}", f"{given[0]}{sur}", f"{sur}-{given[0]}", f"{sur}{r.randrange(100)}", f"lot{r.randrange(120)}{given}", f"{given}+plans", f"{given}_{sur[0]}", sur, f"{r.randrange(10)}{r.choice('0t')}{r.randrange(100)}{given}"])
-    host = r.choice(HOSTS)
+    part = r.choice(DOMAIN) if r.random() < 0.5 else plain(_syllables(r))
+    host = f"{part}{r.choice(['', '', '-' + r.choice(DOMAIN), r.choice(DOMAIN)])}.{r.choice(HOST_END)}"
     x = r.random()
     if x < 0.1:
         s = f"{local} [at] {host.replace('.', ' [dot] ')}"
@@ -145,11 +229,12 @@ def write(r: random.Random) -> tuple[str, np.ndarray]:
             chars.append(c)
             tags.append(0 if kind is None else TAGS.index(("B-" if k == 0 else "I-") + kind))
 
-    put(r.choice(TITLES))
+    put(_title(r))
     for _ in range(r.randrange(5, 20)):
         put(r.choice(["\n"] * 6 + ["  "]))
-        line = r.choice(WITH if r.random() < 0.55 else WITHOUT).replace("~", "\n")
-        line = line.replace("{r}", _road(r, True)).replace("{t}", r.choice(TOWNS)).replace("{f}", r.choice(FIRMS)).replace("{d}", r.choice(TITLES))
+        y = r.random()
+        line = r.choice(WITH) if y < 0.55 else r.choice(NUMBERED) if y < 0.85 else "{s}" if y < 0.93 else f"{r.choice(NUMBERED)}{r.choice([', ', '  ', ' - '])}{{s}}"
+        line = _case(line, r).replace("~", "\n")
         x = r.random()
         case = str.upper if x < 0.13 else str.lower if x < 0.16 else str
         at = 0

@@ -354,25 +354,39 @@ def test_scores(spark):
     assert moderation.score_documents(frame.limit(0), examples).count() == 0
 
 
-def test_pii_held_out():
-    """Span accuracy on generated texts of an unused seed."""
-    r = random.Random(987_654)
+#: Frames, cues and names that the generator of the training texts does not have.
+HELD_FRAMES = [
+    "Landlord <n> rang about the culvert; answer him on <p>.", "Foreman <n>\nMachine shed rebuilt after the storm", "Beneficiary: <n>, born abroad, national id A#########", "Inspector <n> was on site, no defects",
+    "Mortgagee <n>, dwelling <a>", "Parcel ## was surveyed for <n> in the autumn", "Bills go to <m> each month", "The cottage <a> has no well.", "Signed in the presence of <n> and <n>", "Reported by <n> (mobile <p>)",
+    "Guardian of the minor: <n>\nResidence <a>", "Mailbox <m>; telephone <p>", "Shop foreman's number is <p> on weekdays", "Boring log ## shows clay to ## ft", "Chain of title, book ### leaf ##", "Benchmark on the lighthouse, height ##.##", "SSN ###-##-#### of <n>",
+    "Letter from <n> dated the ninth", "Boundary agreed with <n>, who lives in <a>", "Storm drains: see drawing ##-###", "Rough sketch, not to scale", "VALVE BOX COVER MISSING", "Invoice ###### paid", "Chief of the crew: <n>",
+]
+HELD_NAMES = ["Gwendolyn Pryce-Hughes", "Bülent Karaca", "Zsófia Horváth", "Rhys Llewellyn", "Oksana Bondarenko", "T. Achterberg", "Cedric Marlowe", "Imogen Thackeray", "Yusuf Demir", "Beatrix Wolfenden", "Alistair Pemberton Jr.", "Nomvula Dlamini", "Wolfenden, Beatrix", "Casimir Radziwill"]
+HELD_PLACES = ["17 Thornapple Lane", "2204 Old Quarry Road", "9 Saint Brannock Ct", "350 Whistler Avenue, Unit 4", "1182 W. Larkspur Dr", "61 Candlemaker Street"]
+
+
+def test_pii_on_frames_never_taught():
+    """Span accuracy on frames, cues, names and streets that stand in no training text."""
+    r = random.Random(31)
+    fill = lambda s: "".join(str(r.randrange(10)) if c == "#" else c for c in s)
     texts, gold = [], []
-    while len(texts) < 150:
-        text, tags = pii_training.write(r)
-        spans, start = set(), None
-        for i, t in enumerate([*tags, 0]):
-            name = pii.TAGS[t]
-            if start is not None and name[0] != "I":
-                spans.add((start, i, pii.TAGS[tags[start]][2:]))
-                start = None
-            if name[0] == "B":
-                start = i
-        texts.append(text)
-        gold.append({(text[a:b].strip(" .,"), k) for a, b, k in spans})
-    found = [{(t[a:b].strip(" .,"), k) for a, b, k in s} for t, s in zip(texts, pii.tagger().spans(texts), strict=True)]
+    for _ in range(150):
+        lines, want = [], set()
+        for frame in r.sample(HELD_FRAMES, 8):
+            line = fill(frame)
+            for mark, kind, make in (("<n>", "person_name", lambda: r.choice(HELD_NAMES)), ("<a>", "street_address", lambda: r.choice(HELD_PLACES)), ("<p>", "phone", lambda: fill(r.choice(["(2##) 555-01##", "3##-555-01##", "+1 4## 555 01##"]))), ("<m>", "email", lambda: r.choice(["b.wolfenden@quarrymail.net", "office+east@larkspur.org", "rhys_ll@thornapple.example"]))):
+                while mark in line:
+                    item = make()
+                    line = line.replace(mark, item, 1)
+                    want.add((item.strip(" ."), kind))
+            want |= {(m, "id_number") for m in __import__("re").findall(r"(?<=SSN )[0-9-]{11}|A[0-9]{9}", line)}
+            lines.append(line)
+        texts.append("\n".join(lines))
+        gold.append(want)
+    found = [{(t[a:b].strip(" ."), k) for a, b, k in s} for t, s in zip(texts, pii.tagger().spans(texts), strict=True)]
     hit = sum(len(g & f) for g, f in zip(gold, found, strict=True))
-    assert hit / sum(map(len, gold)) > 0.9 and hit / sum(map(len, found)) > 0.9
+    recall, precision = hit / sum(map(len, gold)), hit / sum(map(len, found))
+    assert recall > 0.8 and precision > 0.8, (recall, precision)
 
 
 def test_pii_edges(spark):
