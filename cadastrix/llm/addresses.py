@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.register import FIELDS as FIELDS_OF_REGISTER
-from ..session import checkpoint
+from ..session import brief_checkpoint
+from ..session import merged_checkpoint as checkpoint
 from .doctype import distance
 
 # Directions and other words before a street's name, and street types, with their usual short forms.
@@ -236,13 +237,13 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
     return {r["gram"]: math.sqrt(math.log(1 + total / r["count"]) + 0.1) for r in counted}
 
 
-def name_index(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def name_index(names: DataFrame, idf: dict[str, float] | None = None) -> Callable[[DataFrame], DataFrame]:
     """Index of street names (direction, name): from spellings (direction, name) to the pairs (direction, name, other, d) of any name
     with one of them, ``other``, that may be one.
 
     The bigram statistics cover all names; there are at most 29 x 29 bigrams, so their weights may be broadcast.
     """
-    idf = gram_weights(names)
+    idf = gram_weights(names) if idf is None else idf
 
     @F.pandas_udf("array<struct<gram:string,at:int>>")
     def first(values: pd.Series) -> pd.Series:
@@ -250,7 +251,7 @@ def name_index(names: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
     verified = verify(idf)
     # two names within two edits hold a shared gram at most two places apart, so the place is part of the index key
-    keyed = checkpoint(names.select(*SPELLING, F.explode(first("name")).alias("_g")).select(*SPELLING, "_g.gram", "_g.at"))
+    keyed = brief_checkpoint(names.select(*SPELLING, F.explode(first("name")).alias("_g")).select(*SPELLING, "_g.gram", "_g.at"))
     left = keyed.select("direction", "gram", "name", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"))
     near = (F.abs(F.length("name") - F.length("other")) <= 2) & (F.levenshtein("name", "other", 4) >= 0)
 
@@ -305,29 +306,29 @@ def full_streets(forms: DataFrame, index: Pairs) -> tuple[DataFrame, DataFrame]:
     The commonest spellings are searched first. A rarer one stands for a street too, unless a spelling that dominates it was found among
     them: pairs of two misspellings of one street are then never formed, and no street is left out.
     """
-    streets = checkpoint(_streets(forms.where("n > 0 AND type <> '' AND town <> ''")))
+    streets = brief_checkpoint(_streets(forms.where("n > 0 AND type <> '' AND town <> ''")))
     most = streets.groupBy("direction", "type", "town").agg(F.max("n").alias("most"))
-    common = checkpoint(streets.join(most, ["direction", "type", "town"]).where(F.col("n") >= COMMON * F.col("most")).select(*SPELLING).distinct())
-    pairs = checkpoint(index(common))
+    common = brief_checkpoint(streets.join(most, ["direction", "type", "town"]).where(F.col("n") >= COMMON * F.col("most")).select(*SPELLING).distinct())
+    pairs = brief_checkpoint(index(common))
     rest = streets.join(common, SPELLING, "left_anti").join(_rivals(streets, pairs), KEY, "left_anti").select(*SPELLING).distinct()
     itself = forms.where("n > 0").select(*SPELLING, F.col("name").alias("other"), F.lit(0).alias("d"))
-    pairs = checkpoint(pairs.unionByName(index(rest)).unionByName(itself).distinct())
-    return checkpoint(_with_right_names(streets, pairs)), pairs
+    pairs = brief_checkpoint(pairs.unionByName(index(rest)).unionByName(itself).distinct())
+    return brief_checkpoint(_with_right_names(streets, pairs)), pairs
 
 
 def partial_streets(left: DataFrame, index: Pairs) -> tuple[DataFrame, DataFrame]:
     """Register forms that fit no full street are streets of their own, by what is known of them; one without type only where no typed one fits."""
-    partial = checkpoint(_streets(left.where("n > 0")))
-    pairs = checkpoint(index(partial.select(*SPELLING).distinct()).join(left.select(*SPELLING).distinct(), SPELLING, "left_semi"))
+    partial = brief_checkpoint(_streets(left.where("n > 0")))
+    pairs = brief_checkpoint(index(partial.select(*SPELLING).distinct()).join(left.select(*SPELLING).distinct(), SPELLING, "left_semi"))
     typed = partial.where("type <> ''").select("direction", F.col("name").alias("other"), F.col("town").alias("other_town"))
     covered = partial.where("type = ''").join(pairs, SPELLING).join(typed, ["direction", "other"]).where(_same_town(F.col("town"), F.col("other_town"))).select(*KEY).distinct()
-    return checkpoint(_with_right_names(partial.join(covered, KEY, "left_anti"), pairs)), pairs
+    return brief_checkpoint(_with_right_names(partial.join(covered, KEY, "left_anti"), pairs)), pairs
 
 
 def fit_forms(forms: DataFrame, full: DataFrame, full_pairs: DataFrame, partial: DataFrame | None = None, partial_pairs: DataFrame | None = None) -> DataFrame:
     """The street index of the forms: full streets first, then partial ones (of the two addresses of a register row one on a full street
     counts, whatever its edits)."""
-    each = checkpoint(_fitting(forms, full_pairs, full))
+    each = brief_checkpoint(_fitting(forms, full_pairs, full))
     if partial is None or partial_pairs is None:
         return each
     left = forms.join(each.select(*FORM).distinct(), FORM, "left_anti")
@@ -342,11 +343,11 @@ def street_index(register_forms: DataFrame, other_forms: DataFrame) -> DataFrame
     one that is ``DOMINATES`` times as frequent.
     """
     forms = forms_of(register_forms, other_forms)
-    index = name_index(checkpoint(forms.select(*SPELLING).distinct()))
+    index = name_index(brief_checkpoint(forms.select(*SPELLING).distinct()))
     full, pairs = full_streets(forms, index)
     each = fit_forms(forms, full, pairs)
     left = forms.join(each.select(*FORM).distinct(), FORM, "left_anti")
-    left = checkpoint(left.join(left.where("n > 0").select("direction").distinct(), "direction", "left_semi"))
+    left = brief_checkpoint(left.join(left.where("n > 0").select("direction").distinct(), "direction", "left_semi"))
     partial, pairs = partial_streets(left, index)
     return each.unionByName(_fitting(left, pairs, partial).withColumn("d", F.col("d") + PARTIAL))
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, short_plan_texts
+from ..session import checkpoint, no_own_broadcasts, short_plan_texts
 from ..session import read_table as table
 from . import addresses, bpe, doctype, linkage, mixing, moderation, pii, survivors
 
 
 def _written(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """A result of many steps, written once with short plan texts, so that what reads it has a short plan."""
-    with short_plan_texts(spark):
+    with short_plan_texts(spark), no_own_broadcasts(spark):
         return checkpoint(make())
 
 
@@ -28,7 +28,7 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    with short_plan_texts(spark):
+    with short_plan_texts(spark), no_own_broadcasts(spark):
         return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
 
 

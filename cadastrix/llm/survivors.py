@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import merged_checkpoint as checkpoint
 from . import addresses
 from .addresses import FORM, REGISTER
 from .linkage import with_numbers
