@@ -87,3 +87,28 @@ def test_plans_stay_native(spark):
     df = spark.createDataFrame([("a",)], "ocr_text string")
     plan = df.select(tx.safe_path_part(F.col("ocr_text"), "x"), ids.normalize_tax_id(F.col("ocr_text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_checkpoints_leave_settings_as_they_were(spark):
+    from cadastrix import session
+
+    keys = ["spark.sql.maxPlanStringLength", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.codegen.wholeStage"]
+    before = [spark.conf.get(k, None) for k in keys]
+    rows = spark.range(50).join(spark.range(5), "id")
+    assert session.checkpoint(rows).count() == session.merged_checkpoint(rows).count() == session.brief_checkpoint(rows).count() == 5
+    assert [spark.conf.get(k, None) for k in keys] == before
+    spark.conf.set(keys[0], "500")
+    try:
+        with session.short_plan_texts(spark):
+            assert spark.conf.get(keys[0]) == "500"  # a length of the user's own stays
+    finally:
+        spark.conf.unset(keys[0])
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    from cadastrix import session
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(rows).rdd.getNumPartitions() == 4 and session.spread(rows, 0) is rows
+    assert session.spread(rows.limit(0)).count() == 0
