@@ -28,8 +28,7 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    with short_plan_texts(spark), no_own_broadcasts(spark):
-        return addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata"))
+    return _written(spark, lambda: addresses.same_place_pairs(table(spark, d, "property_register"), table(spark, d, "extracted_metadata")))
 
 
 def p2_places(spark: SparkSession, d: str) -> DataFrame:
