@@ -438,3 +438,38 @@ def test_whole_queries_are_registered(spark):
 
     whole = {"q55_extract_whole", "q56_batch_whole", "q57_mass_whole", "q58_mass_stream_whole"}
     assert whole <= set(queries.queries()) and not whole & set(queries.oracle_sql())
+
+
+def _most_rows(df):
+    """The largest number of rows that any step of the plan that ran put out."""
+    df.collect()
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        left += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def test_refresh_by_map_lists_no_pairs(spark, reg):
+    rows = reg.where("register_id = 1").crossJoin(spark.range(150).withColumnRenamed("id", "_i")).withColumns({"register_id": F.col("_i") + 1, "lot": F.col("_i").cast("string")}).drop("_i")
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(False).alias("is_lookup"), F.col("id").cast("string").alias("lot"), F.lit("12").alias("tax_map"), F.lit("34").alias("parcel"), *(F.lit("").alias(c) for c in ("address", "tax_id", "section")))
+    got = register.refresh(docs, rows, "tax_map", "A")
+    assert _most_rows(got) <= 2 * 150 * 16
+    assert {x.doc_id: x.lot for x in got.collect()} == {i: str(i if i < 150 else 0) for i in range(200)}
+
+
+def test_first_records_equal_the_ranked_lookup(spark, reg):
+    luck = random.Random(5)
+    some = lambda values: luck.choice(values)
+    base = reg.where("register_id = 1").drop("register_id", "county", "account_id", "district", "account_number", "lot", "map", "parcel")
+    known = [(i, some("AB"), some(["", "x", "y"]), some(["05", "5", ""]), some(["123456", "123457", "", "000007"]), some(["1", "01", "2", ""]), some(["12", "0012", "012", "000", "0", ""]), some(["34", "0034", "A1", ""])) for i in range(120)]
+    register_rows = spark.createDataFrame(known, "register_id long, county string, account_id string, district string, account_number string, lot string, map string, parcel string").crossJoin(base)
+    asked = [(i, (some(["", "1", "001", "9", "-"]), some(["", "12", "0012", "000", "77"]), some(["", "34", "a-1", "99"]), some(["", "", "5"]), some(["", "", "123456", "7"]))) for i in range(400)]
+    probes = spark.createDataFrame(asked, "probe long, terms struct<lot:string,tax_map:string,parcel:string,district:string,account_number:string>")
+    for county, limit in (("a", 200), ("a", 3), ("", 200)):
+        want = register.lookup(probes, register_rows, county, limit).where("rank = 1").select("probe", register.register_values().alias("record"))
+        got = register.first_records(probes, register_rows, county, limit)
+        assert {x.probe: x.record for x in got.collect()} == {x.probe: x.record for x in want.collect()} and got.count() == want.count()
