@@ -88,14 +88,17 @@ class VersionedStore:
         self._swap(old | {"version": version, "parts": [self._write(docs, version)]})
         return version
 
+    def unknown(self, docs: DataFrame) -> DataFrame:
+        """The rows whose id is new; only the ids of the parts are read."""
+        old = self.read()
+        return docs if old is None else docs.join(old.select(self.key), self.key, "left_anti")
+
     def append(self, docs: DataFrame, batch: int | None = None) -> int:
         """G-2, U-4: rows whose id is new, as a part of their own; of repeated ids one counts. Only the ids of the old parts are read."""
         pointer = self._pointer()
         if batch is not None and batch in pointer["batches"]:
             return pointer["version"]
-        old, fresh = self.read(), docs.dropDuplicates([self.key])
-        if old is not None:
-            fresh = fresh.join(old.select(self.key), self.key, "left_anti")
+        fresh = self.unknown(docs.dropDuplicates([self.key]))
         version = pointer["version"] + 1
         part = self._write(fresh, version)
         done = [*pointer["batches"], batch][-1000:] if batch is not None else pointer["batches"]

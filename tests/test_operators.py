@@ -473,3 +473,23 @@ def test_first_records_equal_the_ranked_lookup(spark, reg):
         want = register.lookup(probes, register_rows, county, limit).where("rank = 1").select("probe", register.register_values().alias("record"))
         got = register.first_records(probes, register_rows, county, limit)
         assert {x.probe: x.record for x in got.collect()} == {x.probe: x.record for x in want.collect()} and got.count() == want.count()
+
+
+def test_stream_works_on_new_documents_only(spark, reg, tmp_path):
+    docs = spark.createDataFrame([(i, 1, i, f"{i}.pdf", f"SITE PLAN\nLOT {i}") for i in range(3)], DOCS).withColumn("doc_id", F.col("scan_id"))
+    held = store.VersionedStore(spark, str(tmp_path / "held"), key="scan_id")
+    seen = []
+    for number, part in enumerate((docs.where("scan_id < 2"), docs)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+        publish = lambda batch, n: (seen.append(sorted(x.scan_id for x in batch.collect())), mass.publish_to(held)(batch, n))
+        mass.start(source, reg, load_config(county="A"), publish, str(tmp_path / "state"), fuzzy=False, store=held).awaitTermination()
+    assert seen == [[0, 1], [2]] and {x.scan_id: x.lot for x in held.read().collect()} == {0: "0", 1: "1", 2: "2"}
+
+
+def test_arrivals_follow_the_size(spark, tmp_path):
+    from cadastrix.plans import queries
+
+    spark.range(1).write.parquet(str(tmp_path / "small"))
+    spark.range(0, 1 << 20, 1, 1).select(F.xxhash64("id").alias("a")).write.parquet(str(tmp_path / "large"))
+    assert [queries.arrival_files(spark, spark.read.parquet(str(tmp_path / n))) for n in ("small", "large")] == [1, 4]
