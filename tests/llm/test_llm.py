@@ -412,3 +412,16 @@ def test_gradient():
         down[k][at] -= 1e-2
         slope = (pii_training.step(up, a, b, y)[0] - pii_training.step(down, a, b, y)[0]) / 2e-2
         assert abs(slope - g[k][at]) < 2e-3 + 0.02 * abs(slope)
+
+
+def test_vectors_are_trained_on_all_rows(spark, monkeypatch):
+    rows = spark.range(0, 13_000, 1, 2).select("id", F.lit("12").alias("number"), F.element_at(F.array(*map(F.lit, ("OAK", "ELM", "ASH"))), (F.col("id") % 3 + 1).cast("int")).alias("name"), F.concat(F.lit("L"), "id").alias("lot"), F.lit("").alias("map"), F.lit(None).cast("string").alias("parcel"))
+    few, register = rows.where("id < 40").withColumnRenamed("id", "record_id"), rows.withColumnRenamed("id", "register_id")
+    tokens, matrix = linkage.trained_vectors(register, few)
+    assert {t for t in tokens if t.startswith("l:")} == {f"l:L{i}" for i in range(13_000)} and "g:OA" in tokens and matrix.shape == (len(tokens), linkage.SIZE)
+    assert np.allclose(np.linalg.norm(matrix.astype(float), axis=1), 1, atol=0.01)
+    monkeypatch.setattr(linkage, "BLOCK", 7)
+    again = [linkage.trained_vectors(few.withColumnRenamed("record_id", "register_id"), few) for _ in range(2)]
+    assert {t for t in again[0][0] if t.startswith("l:")} == {f"l:L{i}" for i in range(40)} and np.array_equal(again[0][1], again[1][1])
+    none = linkage.trained_vectors(register.limit(0), few.limit(0))
+    assert none[0] == [] and none[1].shape == (0, linkage.SIZE)
