@@ -64,7 +64,7 @@ LEXICON = {
         sleep_with fuck* ropa cama nackt* im_bett ausziehen nue nues coucher deshabill* lecher schlafen""",
     "body": """skin touch* ride rode came lap legs thighs scream* horny hard wet hot lust dream* mouth lips screw* sleep baby begging adult take_off arms eyes hands lonely suenos sueno zieh lit crier envie culo ass""",
     "lure": """free click videos video pictures pics photos movies cams models singles tonight fotos bilder night noche nacht soir""",
-    "not": """not no never nobody without do_not dont neither nor none""",
+    "not": """not no never nobody without do_not dont doesnt didnt wont wouldnt neither nor none""",
     "say": """call* complain* report* ask* said says say remark* language tell telling mention* shout* heard word words article policy""",
     "feel": """feel feels felt feeling was am were""",
     "farm": """puppy puppies kitten* litter kennel* barn* pasture* herd* cattle milk hay stable* hen hens chicken* fox foxes bait* mule* cart sheep goat* dog dogs cat cats rats rat mice bird* deer""",
@@ -128,6 +128,10 @@ _BLOTTED = sorted({w for name in ("insult", "nasty", "foul", "sexual", "intimate
 SENSES = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "low", "sexual", "intimate", "body"))
 ANIMALS = {"bitch", "bitches", "cow", "cows", "pig", "pigs", "swine", "worm", "worms", "leech", "leeches", "vermin", "parasite", "parasites", "ass", "rat", "rats", "dogs", "animals", "weasel", "weasels"}
 _ARTICLES = {"a", "an", "such", "what", "which", "only", "that", "the", "of", "un", "une", "ein", "una", "espece", "pedazo"}
+#: What may stand between "I am" or "I feel" and the word that the speaker has for himself, and verbs that give somebody a name.
+_SELF, _BEING = {"i", "im", "ich", "je", "yo"}, {"am", "was", "be", "feel", "felt", "look", "looked", "sound", "sounded", "bin", "war", "suis", "soy", "fui"}
+_FILLERS = {"like", "as", "such", "so", "quite", "really", "very", "just", "still", "always", "complete", "total", "bit", "of", "a", "an", "the", "un", "une", "una", "ein", "como", "comme", "wie"}
+_NAMING = {"call", "calls", "called", "calling", "name", "named", "label", "labelled", "labeled", "brand", "branded"}
 STRONG = sum(CLASS[k] for k in ("insult", "nasty", "foul", "violence", "death", "shut", "begone", "group", "low", "sexual", "intimate", "body", "us", "stalk"))
 
 
@@ -193,6 +197,27 @@ def plain(sentence: str) -> str:
     return " ".join(_WORDS.findall(s))
 
 
+def spared(w: list[str], place: list[int], kinds: list[int]) -> tuple[list[int], list[int]]:
+    """Strong words that are meant for nobody: those that the speaker has for himself ("I feel like an idiot"), and denied ones, be it the
+    name that nobody is to be given ("do not call him a liar") or the harm in a wish that it may not come ("hopes she does not choke")."""
+    of_self: list[int] = []
+    denied: list[int] = []
+    no, nasty = CLASS["not"], CLASS["nasty"]
+    for j in range(1, len(w)):
+        if kinds[j] & CLASS["insult"]:
+            # back over the words of one clause that may lead up to the insult
+            i = j - 1
+            while i > 0 and (w[i] in _FILLERS or kinds[i] & nasty) and place[i + 1] - place[i] == 1:
+                i -= 1
+            if place[j] - place[i] == j - i and (w[i] == "im" or w[i] in _BEING and i > 0 and w[i - 1] in _SELF and place[i] - place[i - 1] == 1):
+                of_self.append(j)
+            if w[j - 1] in ("a", "an") or kinds[j - 1] & nasty and j > 1 and w[j - 2] in ("a", "an"):
+                denied += [j for k in range(max(1, j - 7), j - 1) if w[k] in _NAMING and place[j] - place[k] == j - k and any(kinds[x] & no for x in range(max(0, k - 2), k))][:1]
+        if kinds[j] & CLASS["death"] and kinds[j - 1] & no and place[j] - place[j - 1] == 1 and any(kinds[i] & CLASS["wish"] for i in range(max(0, j - 10), j - 1)):
+            denied.append(j)
+    return of_self, denied
+
+
 def votes(words: str) -> int:
     """Bit j set where voter j votes; the last voter votes harmless where no word of a strong class stands. A comma parts words as
     three words between them would."""
@@ -225,7 +250,8 @@ def votes(words: str) -> int:
     if any(x in ANIMALS for x in w):
         beasts = {x for x, k in zip(w, kinds, strict=True) if k & CLASS["farm"]}
         of_thing += [i for i, x in enumerate(w) if x in ANIMALS and kinds[i] & SENSES and beasts - {x}]
-    for i in of_thing:
+    of_self, denied = spared(w, place, kinds)
+    for i in (*of_thing, *of_self, *denied):
         kinds[i] &= ~SENSES
     at: dict[str, list[int]] = {name: [] for name in CLASS}
     for i, k in enumerate(kinds):
@@ -254,8 +280,8 @@ def votes(words: str) -> int:
         "intimate_two": len({w[i] for i in (*at["intimate"], *at["body"])}) >= 2 and _near([*at["intimate"], *at["body"]], close, 4, 4),
         "intimate_you": _near(at["intimate"], [*you, *(i for i in close if w[i] in ("her", "him"))], 4, 6),
         "lure": bool(at["sexual"] or at["intimate"]) and len({w[i] for i in at["lure"]}) >= 2,
-        "no_negated": _near([*insult, *foul, *at["violence"], *at["low"]], at["not"], 5, 0) and bool(at["say"]) or _near([*insult, *at["violence"], *foul], at["say"], 5, 1),
-        "no_self": bool(harsh or at["violence"] or at["death"]) and _near(me, at["feel"], 0, 2) and not you,
+        "no_negated": _near([*insult, *foul, *at["violence"], *at["low"]], at["not"], 5, 0) and bool(at["say"]) or _near([*insult, *at["violence"], *foul], at["say"], 5, 1) or bool(denied),
+        "no_self": bool(harsh or at["violence"] or at["death"]) and _near(me, at["feel"], 0, 2) and not you or bool(of_self),
         "no_thing": bool(of_thing),
         "no_trade": len(at["thing"]) * 4 >= len(w) or sum(x.isdigit() for x in w) * 6 >= len(w),
     }

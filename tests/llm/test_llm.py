@@ -314,6 +314,27 @@ def test_votes(sentence, bad):
     assert bool(moderation.votes(moderation.plain(sentence)) & moderation.LOUD) is bad
 
 
+@pytest.mark.parametrize(
+    ("sentence", "bad"),
+    [
+        ("Kindly never call our foreman a liar, he read the gauge right.", False), ("Nobody called the assessor a dirty crook at the meeting.", False), ("We hope the old man does not die before his hearing.", False),
+        ("I felt such a fool when the keys were in my coat.", False), ("Ich bin so ein Idiot, der Plan lag verkehrt herum.", False), ("I am a complete moron with this printer, sorry.", False),
+        ("Do not call me again, you idiot.", True), ("Do not call that liar again.", True), ("I hope you die, not your dog.", True), ("I feel sorry for the dirty crook who is your boss.", True), ("I look like a fool because of you morons.", True), ("I am telling you, idiot.", True),
+    ],
+)
+def test_words_meant_for_nobody_are_no_votes(sentence, bad):
+    assert bool(moderation.votes(moderation.plain(sentence)) & moderation.LOUD) is bad
+
+
+def test_a_frequent_harmless_sentence_is_not_flagged(spark):
+    bad = ["You are a pathetic loser.", "The clerk is a lying crook.", "I hope he chokes on his stamp."]
+    good = ["Kindly never call our foreman a liar, he read the gauge right.", "I felt such a fool when the keys were in my coat.", "We hope the old man does not die before his hearing.", "Set up on pt 4, backsight pt 9."]
+    docs = [(i, f"Job {i}. {good[i % 4]}") for i in range(400)] + [(1000 + i, f"Job {i}. {bad[i % 3]}") for i in range(60)]
+    examples = spark.createDataFrame([(b, "abusive") for b in bad] + [(g, "none") for g in good[3:]], "text string, category string")
+    scored = moderation.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), examples)
+    assert {r.doc_id for r in scored.where("flagged").collect()} == {1000 + i for i in range(60)}
+
+
 def test_a_long_line_is_judged_to_its_end():
     quiet = "the crew set a pipe by the wall and went on to the next corner of the lot"
     line = " ".join([quiet] * 50 + ["you are a worthless moron and I hope you choke on it"])
