@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cadastrix import session
 from cadastrix.llm import addresses, bpe, doctype, linkage, mixing, moderation, pii, pii_training, survivors
 
 TYPES = [(1, "Site Plan", ["plan of site"]), (2, "House Location", []), (9, "Topographic Survey", ["topo"]), (32, "Lookup Only", None)]
@@ -298,6 +299,19 @@ def test_consistent_bundles_equal_brute_force(spark):
     assert changed > 10
 
 
+def test_steps_leave_no_garbage_in_a_grown_driver_heap(spark):
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    grown = [jvm.java.nio.ByteBuffer.allocate(runtime.maxMemory() // 16) for _ in range(7)]
+    assert runtime.totalMemory() * 3 > runtime.maxMemory()
+    left = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    import gc
+
+    gc.collect()
+    assert session.checkpoint(spark.range(3)).count() == 3 and len(grown) == 7
+    assert left.get() is None
+
+
 def test_branch_and_bound_equals_brute_force():
     from itertools import product
 
